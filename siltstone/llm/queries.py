@@ -26,11 +26,23 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents")))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.weighted import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_secret_scan, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_secret_scan, op5_url_filter, op8_document_fingerprints, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
