@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Samples of one row of the inner table: short enough code for the JIT compiler.
-CHUNK = 8
+CHUNK = 4
 #: Bits of a sample that a fingerprint keeps.
 SAMPLE_BITS = 16
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-def _uniform(h: Column, shift: int, bits: int) -> Column:
-    """(0, 1) from bits of a hash."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) / float(1 << bits)
+#: Bits of a hash that pick r, ln c and beta of a term and sample; what is left under them names the term.
+R_BITS, C_BITS, BETA_BITS = 12, 14, 38
+
+
+@lru_cache(maxsize=4)
+def gamma_quantiles(bits: int) -> np.ndarray:
+    """2^bits equally likely values of a Gamma(2, 1) variate: its quantiles in the middle of equal steps, by bisection."""
+    p = (np.arange(1 << bits) + 0.5) / (1 << bits)
+    low, high = np.zeros_like(p), np.full_like(p, 60.0)
+    for _ in range(80):
+        mid = (low + high) / 2
+        under = 1 - np.exp(-mid) * (1 + mid) < p
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    return (low + high) / 2
+
+
+def _table(values: np.ndarray) -> Column:
+    """A constant array."""
+    return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
 
 
-def _sample(h: Column, r: Column, ln_c: Column, beta: Column, count: Column) -> Column:
+def _sample(h: Column, r: Column, ln_c: Column, beta: Column, ln_count: Column) -> Column:
     """One term's bid for one sample: (ln a, hash of term and t) in a long, so that the least bid is a min().
 
     With r, c ~ Gamma(2, 1) and beta ~ U(0, 1) of the term: t = floor(ln w / r + beta), ln a = ln c - r (t - beta + 1).
     """
-    t = F.floor(F.log(count) / r + beta)
-    ln_a = ln_c - r * (t - beta + 1)
-    high = F.shiftleft(F.floor((ln_a + 100) * float(1 << 30)), 26)
+    t = F.floor(ln_count / r + beta)
+    high = F.shiftleft(F.floor((ln_c - r * (t - beta + 1) + 100) * float(1 << 30)), 26)
     low = h.bitwiseXOR(t).bitwiseXOR(F.shiftleft(t, 13)).bitwiseAND(F.lit((1 << 26) - 1))
-    return F.when(count > 0, high.bitwiseOR(low))
+    return high.bitwiseOR(low)
 
 
 def samples(counts: DataFrame, keys: list[str], term: str, weights: list[str], n_samples: int, note: Column | None = None) -> DataFrame:
@@ -44,19 +62,20 @@ def samples(counts: DataFrame, keys: list[str], term: str, weights: list[str], n
     keys, all_keys = [*keys, "__note"], keys
     counts = counts.withColumn("__note", F.lit(None).cast("string") if note is None else note)
     chunks = F.when(F.col("__note").isNull(), F.sequence(F.lit(0), F.lit(n_samples // CHUNK - 1))).otherwise(F.array(F.lit(-1)))
-    each = counts.select(*keys, F.xxhash64(term).alias("t"), *(F.col(w).cast("double").alias(w) for w in weights), F.explode(chunks).alias("chunk"))
+    # the logarithm of no weight is null, and so are its bids
+    each = counts.select(*keys, F.xxhash64(term).alias("t"), *(F.log(F.when(F.col(w) > 0, F.col(w).cast("double"))).alias(w) for w in weights), F.explode(chunks).alias("chunk"))
     each = each.select(*keys, "chunk", *weights, *(F.xxhash64("t", F.col("chunk") * CHUNK + j).alias(f"h{j}") for j in js))
-    each = each.select(*keys, "chunk", *weights, *(f"h{j}" for j in js), *(F.xxhash64(f"h{j}").alias(f"g{j}") for j in js))
+    r_table, c_table = _table(gamma_quantiles(R_BITS)), _table(np.log(gamma_quantiles(C_BITS)))
     drawn = []
     for j in js:
-        h, g = F.col(f"h{j}"), F.col(f"g{j}")
+        h = F.col(f"h{j}")
         drawn += [
-            (-F.log(_uniform(h, 0, 22) * _uniform(h, 22, 21))).alias(f"r{j}"),
-            F.log(-F.log(_uniform(h, 43, 21) * _uniform(g, 0, 22))).alias(f"c{j}"),
-            _uniform(g, 22, 40).alias(f"b{j}"),
+            F.get(r_table, F.shiftrightunsigned(h, 64 - R_BITS).cast("int")).alias(f"r{j}"),
+            F.get(c_table, F.shiftrightunsigned(h, BETA_BITS).bitwiseAND(F.lit((1 << C_BITS) - 1)).cast("int")).alias(f"c{j}"),
+            ((h.bitwiseAND(F.lit((1 << BETA_BITS) - 1)) + F.lit(0.5)) / float(1 << BETA_BITS)).alias(f"b{j}"),
         ]
-    each = each.select(*keys, "chunk", *weights, *(f"g{j}" for j in js), *drawn)
-    bid = lambda j, w: _sample(F.col(f"g{j}"), F.col(f"r{j}"), F.col(f"c{j}"), F.col(f"b{j}"), F.col(w))
+    each = each.select(*keys, "chunk", *weights, *(f"h{j}" for j in js), *drawn)
+    bid = lambda j, w: _sample(F.col(f"h{j}"), F.col(f"r{j}"), F.col(f"c{j}"), F.col(f"b{j}"), F.col(w))
     best = each.groupBy(*keys, "chunk").agg(*(F.min(bid(j, w)).alias(f"{w}_{j}") for w in weights for j in js))
     mask = F.lit((1 << SAMPLE_BITS) - 1)
     kept = lambda w: F.array(*(F.coalesce(F.col(f"{w}_{j}").bitwiseAND(mask), F.lit(-1).cast("bigint")) for j in js))
