@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: No piece goes across a line feed, nor into a run of spaces from what is before it.
-_CHUNK = re.compile(r"\n| *[^ \n]+| +")
+#: Pieces of the model hold spaces only in front and never join letters to other characters, so chunks may end at both.
+_CHUNK = re.compile(r"\n| *(?:[^\W\d_]+|[^ \nA-Za-z]+?(?=[^\W\d_]|[ \n]|$))| +")
 
 
 def model_path() -> str:
@@ -50,11 +50,13 @@ class Lattice:
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
         order = sorted(plain, key=lambda i: (-sp.get_score(i), i))
-        self.piece = {sp.id_to_piece(i): (i, -sharp * math.log(2 + r)) for r, i in enumerate(order)}
+        self.piece = {sp.id_to_piece(i): i for i in order}
         self.longest = max(map(len, self.piece))
         self.spelled = -sharp * math.log(2 + n)
+        self.logp = np.full(n, self.spelled)
+        self.logp[order] = -sharp * np.log(2 + np.arange(len(order)))
         self.raw = [b""] * n
-        for p, (i, _) in self.piece.items():
+        for p, i in self.piece.items():
             self.raw[i] = p.replace(SPACE, " ").encode()
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
@@ -65,43 +67,58 @@ class Lattice:
         self.cum, self.token, self.prev = array("d"), array("q"), array("q")
         self.n_nodes = 0
 
-    def _add(self, chunk: str) -> None:
-        """Forward-filter a chunk: edges into each place with the share of all ways there that end with them."""
-        text = chunk.replace(SPACE, "\0").replace(" ", SPACE)
-        first, forward = self.n_nodes, [0.0]
-        for j in range(1, len(text) + 1):
-            into = []
-            for i in range(max(0, j - self.longest), j):
-                found = self.piece.get(text[i:j])
-                if found:
-                    into.append((forward[i] + found[1], found[0], i))
-            if not into or text[j - 1] not in self.piece:
-                c = chunk[j - 1]
-                raw = c.encode("utf-8", "surrogatepass")
-                # a token of several ids: the character's code point beyond the pieces
-                into.append((forward[j - 1] + self.spelled * len(raw), self.byte[raw[0]] if len(raw) == 1 else self.size + ord(c), j - 1))
-            top = max(x for x, _, _ in into)
-            total = sum(math.exp(x - top) for x, _, _ in into)
-            forward.append(top + math.log(total))
-            at, sofar = first + j, 0.0
-            for x, token, i in into:
-                sofar += math.exp(x - top) / total
-                self.cum.append(at + min(sofar, 1.0))
-                self.token.append(token)
-                self.prev.append(first + i)
-            self.cum[-1] = at + 1.0
-        self.n_nodes += len(text) + 1
-        self.end[chunk] = first + len(text)
+    def _learn(self, chunks: list[str]) -> None:
+        """Forward-filter new chunks, place by place for all at once: each edge into a place gets the share of all ways there that end with it."""
+        get, longest, size = self.piece.get, self.longest, self.size
+        start, end, token, place, node = [], [], [], [], self.n_nodes
+        for chunk in chunks:
+            text = chunk.replace(SPACE, "\0").replace(" ", SPACE)
+            for j in range(1, len(text) + 1):
+                for i in range(max(0, j - longest), j):
+                    t = get(text[i:j])
+                    if t is None:
+                        if i < j - 1:
+                            continue
+                        # a token of several ids: the character's code point beyond the pieces
+                        raw = chunk[i].encode("utf-8", "surrogatepass")
+                        t = self.byte[raw[0]] if len(raw) == 1 else size + ord(chunk[i])
+                    start.append(node + i)
+                    end.append(node + j)
+                    token.append(t)
+                    place.append(j)
+            self.end[chunk] = node + len(text)
+            node += len(text) + 1
+        first, self.n_nodes = self.n_nodes, node
+        s, e, tok, at = (np.asarray(x, np.int64) for x in (start, end, token, place))
+        n_bytes = 2 + (tok - size >= 0x800) + (tok - size >= 0x10000)
+        logp = np.where(tok < size, self.logp[np.minimum(tok, size - 1)], self.spelled * n_bytes)
+        forward, share = np.zeros(node - first), np.empty(len(e))
+        order = np.argsort(at, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+            x = forward[s[some] - first] + logp[some]
+            heads = np.flatnonzero(np.r_[True, np.diff(e[some]) != 0])
+            reps = np.diff(np.r_[heads, len(some)])
+            top = np.maximum.reduceat(x, heads)
+            w = np.exp(x - np.repeat(top, reps))
+            total = np.add.reduceat(w, heads)
+            forward[e[some[heads]] - first] = top + np.log(total)
+            share[some] = w / np.repeat(total, reps)
+        heads = np.flatnonzero(np.r_[True, np.diff(e) != 0])
+        reps = np.diff(np.r_[heads, len(e)])
+        sums = np.cumsum(share)
+        cum = e + np.clip(sums - np.repeat(sums[heads] - share[heads], reps), 0, 1)
+        cum[np.cumsum(reps) - 1] = e[heads] + 1
+        for kept, new in ((self.cum, cum), (self.token, tok), (self.prev, s)):
+            kept.frombytes(new.tobytes())
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Ids of one segmentation of each text, drawn by its seed; the same text and seed give the same ids."""
         if len(self.end) > self.max_chunks:
             self.clear()
         chunks = [_CHUNK.findall(" " + t) if t else [] for t in texts]
-        for some in chunks:
-            for c in some:
-                if c not in self.end:
-                    self._add(c)
+        new = [c for c in dict.fromkeys(c for some in chunks for c in some) if c not in self.end]
+        if new:
+            self._learn(new)
         n = np.asarray([len(c) for c in chunks])
         cur = np.asarray([self.end[c] for some in chunks for c in some], np.int64)
         row = np.repeat(np.arange(len(texts)), n)
