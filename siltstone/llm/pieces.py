@@ -18,6 +18,10 @@ SPACE = "▁"
 #: Pieces of the model hold spaces only in front and never join letters to other characters, so chunks may end at both.
 _CHUNK = re.compile(r"\n| *(?:[^\W\d_]+|[^ \nA-Za-z]+?(?=[^\W\d_]|[ \n]|$))| +")
 
+_CODE_BITS = 21
+#: No character.
+_NONE = (1 << _CODE_BITS) - 1
+
 
 def model_path() -> str:
     import public_tokenizers
@@ -60,39 +64,73 @@ class Lattice:
             self.raw[i] = p.replace(SPACE, " ").encode()
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
+        self.byte_of = np.asarray([self.byte[b] for b in range(128)])
+        self._build_trie()
         self.clear()
 
+    def _build_trie(self) -> None:
+        """Steps of the trie of pieces, sorted by (node, code point), and the piece that ends at each node or -1."""
+        steps: dict[int, int] = {}
+        ends = [-1]
+        for p, i in self.piece.items():
+            node = 0
+            for c in p:
+                node = steps.setdefault((node << _CODE_BITS) | ord(c), len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = i
+        self.step_key = np.asarray(sorted(steps), np.int64)
+        self.step_to = np.asarray([steps[k] for k in self.step_key.tolist()], np.int64)
+        self.ends_piece = np.asarray(ends, np.int64)
+
     def clear(self) -> None:
         self.end: dict[str, int] = {}
         self.cum, self.token, self.prev = array("d"), array("q"), array("q")
         self.n_nodes = 0
 
+    def _edges(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
+        """Edges of new chunks' lattices, sorted by end and then start: start, end, token and place (the end within its chunk); and the number of nodes.
+
+        All places walk the trie of pieces together, a character further each turn, until none has a longer piece.
+        """
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
+        last = np.cumsum(size) - 1
+        plain = np.frombuffer(("\0".join(chunks) + "\0").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        code = np.where(plain == ord(" "), ord(SPACE), np.where(plain == ord(SPACE), _NONE, plain))
+        code[last] = _NONE
+        place = np.arange(len(code)) - np.repeat(last - size + 1, size)
+        inside = np.ones(len(code), bool)
+        inside[last] = False
+        at = np.flatnonzero(inside)
+        state, found = np.zeros(len(at), np.int64), []
+        for d in range(1, self.longest + 1):
+            key = (state << _CODE_BITS) | code[at + d - 1]
+            slot = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
+            hit = self.step_key[slot] == key
+            state = self.step_to[slot]
+            tok = np.where(hit, self.ends_piece[state], -1)
+            if d == 1:
+                # a token of several ids: the character's code point beyond the pieces
+                c = plain[at]
+                tok = np.where(tok >= 0, tok, np.where(c < 128, self.byte_of[np.minimum(c, 127)], self.size + c))
+            ends = tok >= 0
+            found.append((at[ends], at[ends] + d, tok[ends]))
+            at, state = at[hit], state[hit]
+            if not at.size:
+                break
+        s, e, tok = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((s, e))
+        return s[order], e[order], tok[order], place[e[order]], len(code)
+
     def _learn(self, chunks: list[str]) -> None:
         """Forward-filter new chunks, place by place for all at once: each edge into a place gets the share of all ways there that end with it."""
-        get, longest, size = self.piece.get, self.longest, self.size
-        start, end, token, place, node = [], [], [], [], self.n_nodes
-        for chunk in chunks:
-            text = chunk.replace(SPACE, "\0").replace(" ", SPACE)
-            for j in range(1, len(text) + 1):
-                for i in range(max(0, j - longest), j):
-                    t = get(text[i:j])
-                    if t is None:
-                        if i < j - 1:
-                            continue
-                        # a token of several ids: the character's code point beyond the pieces
-                        raw = chunk[i].encode("utf-8", "surrogatepass")
-                        t = self.byte[raw[0]] if len(raw) == 1 else size + ord(chunk[i])
-                    start.append(node + i)
-                    end.append(node + j)
-                    token.append(t)
-                    place.append(j)
-            self.end[chunk] = node + len(text)
-            node += len(text) + 1
-        first, self.n_nodes = self.n_nodes, node
-        s, e, tok, at = (np.asarray(x, np.int64) for x in (start, end, token, place))
+        size, first = self.size, self.n_nodes
+        s, e, tok, at, n = self._edges(chunks)
+        s, e, self.n_nodes = s + first, e + first, first + n
+        self.end.update(zip(chunks, (first - 1 + np.cumsum([len(c) + 1 for c in chunks])).tolist(), strict=True))
         n_bytes = 2 + (tok - size >= 0x800) + (tok - size >= 0x10000)
         logp = np.where(tok < size, self.logp[np.minimum(tok, size - 1)], self.spelled * n_bytes)
-        forward, share = np.zeros(node - first), np.empty(len(e))
+        forward, share = np.zeros(n), np.empty(len(e))
         order = np.argsort(at, kind="stable")
         for some in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
             x = forward[s[some] - first] + logp[some]
