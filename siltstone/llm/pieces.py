@@ -8,6 +8,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,13 @@ class Lattice:
     """Pieces of a model and the compiled lattices of the chunks of text seen so far.
 
     A piece's log probability is sharp times the log of its rank, a unigram model over the model's order of pieces. A
-    compiled chunk is a row of nodes, one for each place in it; a node's incoming edges are in cum, cumulated backward-
-    sampling probability plus the node's number, so one sorted search picks edges for many walks at once. A character
-    that no piece covers is spelled in byte pieces. The cache is emptied beyond max_chunks.
+    compiled chunk is a row of nodes, one for each place in it; a node's incoming edges follow one another from head, the
+    longest first, with their backward-sampling probabilities cumulated. These figures depend on the chunk alone, so a
+    task run again draws the same edges. A character that no piece covers is spelled in byte pieces. The cache is
+    emptied beyond max_chunks.
     """
 
-    def __init__(self, path: str, sharp: float = 1.0, max_chunks: int = 150_000):
+    def __init__(self, path: str, sharp: float = 1.0, max_chunks: int = 120_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -85,7 +87,7 @@ class Lattice:
 
     def clear(self) -> None:
         self.end: dict[str, int] = {}
-        self.cum, self.token, self.prev = array("d"), array("q"), array("q")
+        self.head, self.cum, self.token, self.prev = array("i"), array("d"), array("i"), array("i")
         self.n_nodes = 0
 
     def _edges(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
@@ -119,7 +121,7 @@ class Lattice:
             if not at.size:
                 break
         s, e, tok = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((s, e))
+        order = np.argsort(e * (self.longest + 1) + s - e, kind="stable")
         return s[order], e[order], tok[order], place[e[order]], len(code)
 
     def _learn(self, chunks: list[str]) -> None:
@@ -143,10 +145,15 @@ class Lattice:
             share[some] = w / np.repeat(total, reps)
         heads = np.flatnonzero(np.r_[True, np.diff(e) != 0])
         reps = np.diff(np.r_[heads, len(e)])
-        sums = np.cumsum(share)
-        cum = e + np.clip(sums - np.repeat(sums[heads] - share[heads], reps), 0, 1)
-        cum[np.cumsum(reps) - 1] = e[heads] + 1
-        for kept, new in ((self.cum, cum), (self.token, tok), (self.prev, s)):
+        more = heads[reps > 1]
+        left = reps[reps > 1] - 1
+        while more.size:
+            share[more + 1] += share[more]
+            more, left = more[left > 1] + 1, left[left > 1] - 1
+        share[heads + reps - 1] = 1
+        head = np.zeros(n, np.int32)
+        head[e[heads] - first] = len(self.cum) + heads
+        for kept, new in ((self.head, head), (self.cum, share), (self.token, tok.astype(np.int32)), (self.prev, s.astype(np.int32))):
             kept.frombytes(new.tobytes())
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
@@ -154,31 +161,35 @@ class Lattice:
         if len(self.end) > self.max_chunks:
             self.clear()
         chunks = [_CHUNK.findall(" " + t) if t else [] for t in texts]
-        new = [c for c in dict.fromkeys(c for some in chunks for c in some) if c not in self.end]
+        flat = list(chain.from_iterable(chunks))
+        new = set(flat).difference(self.end)
         if new:
-            self._learn(new)
-        n = np.asarray([len(c) for c in chunks])
-        cur = np.asarray([self.end[c] for some in chunks for c in some], np.int64)
+            self._learn(list(new))
+        n = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        cur = np.fromiter(map(self.end.__getitem__, flat), np.int64, len(flat))
         row = np.repeat(np.arange(len(texts)), n)
         place = np.arange(len(cur)) - np.repeat(np.cumsum(n) - n, n)
         base = _mix(seeds[row] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        cum, token, prev = (np.frombuffer(a, t) if len(a) else np.zeros(0, t) for a, t in ((self.cum, np.float64), (self.token, np.int64), (self.prev, np.int64)))
-        # a chunk's first place has no edge into it: the search never lands there from a later one
-        length = np.asarray([len(c) for some in chunks for c in some], np.int64)
-        start = cur - length
-        active, steps, step = np.arange(len(cur)), [], 0
+        head, cum, token, prev = (np.frombuffer(a, t) if len(a) else np.zeros(0, t) for a, t in ((self.head, np.int32), (self.cum, np.float64), (self.token, np.int32), (self.prev, np.int32)))
+        start = cur - np.fromiter(map(len, flat), np.int64, len(flat))
+        active, at, steps, step = np.arange(len(cur)), cur, [], 0
         while active.size:
             u = (_mix(base[active] + np.uint64(step + 1)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-            e = np.searchsorted(cum, cur[active] + u, side="right")
+            e = head[at]
+            past = np.flatnonzero(cum[e] <= u)
+            while past.size:
+                e[past] += 1
+                past = past[cum[e[past]] <= u[past]]
             steps.append((active, token[e]))
-            cur[active] = prev[e]
-            active = active[cur[active] > start[active]]
+            at = prev[e]
+            on = at > start[active]
+            active, at = active[on], at[on]
             step += 1
         count = np.zeros(len(cur), np.int64)
         for a, _ in steps:
             count[a] += 1
         end = np.cumsum(count)
-        out = np.zeros(int(end[-1]) if len(end) else 0, np.int64)
+        out = np.zeros(int(end[-1]) if len(end) else 0, np.int32)
         for s, (a, t) in enumerate(steps):
             out[end[a] - 1 - s] = t
         bounds = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(n)])]
@@ -186,12 +197,15 @@ class Lattice:
 
     def _spell(self, tokens: np.ndarray) -> np.ndarray:
         if tokens.size and tokens.max() >= self.size:
-            tokens = np.asarray([i for t in tokens.tolist() for i in ([t] if t < self.size else [self.byte[b] for b in chr(t - self.size).encode("utf-8", "surrogatepass")])], np.int64)
+            tokens = np.asarray([i for t in tokens.tolist() for i in ([t] if t < self.size else [self.byte[b] for b in chr(t - self.size).encode("utf-8", "surrogatepass")])], np.int32)
         return tokens
 
+    def spelled_out(self, ids: list[int]) -> bytes:
+        """UTF-8 of the text: pieces and bytes joined, without the space that encoding puts before."""
+        return b"".join(map(self.raw.__getitem__, ids))[1:]
+
     def decode(self, ids: list[int]) -> str:
-        """The text: pieces and bytes joined, without the space that encoding puts before."""
-        return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
+        return self.spelled_out(ids).decode("utf-8", "surrogatepass")
 
 
 @lru_cache(maxsize=2)
@@ -200,6 +214,12 @@ def lattice(path: str, sharp: float) -> Lattice:
     return Lattice(path, sharp)
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray | None]:
+    """The ids of each row, None for null."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] if ok else None for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), column.is_valid().to_pylist(), strict=True)]
+
+
 def encode(docs: DataFrame, *, path: str | None = None, seed: int = 1, sharp: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): a sampled segmentation of every text, the same for the same id, text and seed.
 
@@ -214,7 +234,9 @@ def encode(docs: DataFrame, *, path: str | None = None, seed: int = 1, sharp: fl
             for at in range(0, len(texts), 64):
                 some = texts[at : at + 64]
                 ids = lat.sample([t or "" for t in some], keys[at : at + 64])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 64], pa.array([None if t is None else i for t, i in zip(some, ids, strict=True)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)), mask=pa.array([t is None for t in some]))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 64], lists], names=["doc_id", "ids"])
 
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.lit(seed), id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id bigint, ids array<int>")
@@ -227,7 +249,8 @@ def decode(encoded: DataFrame, *, path: str | None = None, sharp: float = 1.0) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(where, sharp)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if i is None else lat.decode(i) for i in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            texts = [None if i is None else lat.decode(i.tolist()) for i in _lists(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
@@ -242,10 +265,10 @@ def round_trip(docs: DataFrame, *, path: str | None = None, seed: int = 1, sharp
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(where, sharp)
         for batch in batches:
-            ids = batch.column(1).to_pylist()
+            ids = _lists(batch.column(1))
             n = [None if i is None else len(i) for i in ids]
-            ic = [None if i is None else zlib.crc32(np.asarray(i, "<u4")) for i in ids]
-            tc = [None if i is None else zlib.crc32(lat.decode(i).encode("utf-8", "surrogatepass")) for i in ids]
+            ic = [None if i is None else zlib.crc32(i.astype("<u4")) for i in ids]
+            tc = [None if i is None else zlib.crc32(lat.spelled_out(i.tolist())) for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, ic, tc))], names=["doc_id", "n_ids", "ids_crc32", "text_crc32"])
 
     return encode(docs, path=path, seed=seed, sharp=sharp, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id bigint, n_ids bigint, ids_crc32 bigint, text_crc32 bigint")
