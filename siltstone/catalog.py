@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import batching, folds, graph, maintain, resolve, retrieval, rules, validate
+from siltstone.operators import batching, folds, graph, maintain, resolve, retrieval, rules, signals, validate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -321,6 +321,26 @@ def logical_sections(spark, d):
     return read(spark, d, "documents").select("doc_id", (F.size(F.split(p, "/")) > 3).alias("deep"), T.logical_section(p).alias("section"))
 
 
+@query("""SELECT conv_id, turn, n // 7 AS wave, CASE WHEN n % 7 < 4 THEN 0 WHEN n % 7 < 5 THEN 2 ELSE 3 END AS slot
+    FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)""")
+def wave_plan(spark, d):
+    return batching.wave_plan(read(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn", [4, 0, 1, 2])
+
+
+_SYMBOL = "(['get', 'List', 'postUser', 'x'])[(p_partkey % 4 + 1)::INTEGER] || upper(substr(p_brand, 1, 1)) || lower(substr(p_brand, 2)) || 'ById'"
+
+
+@query(f"""WITH s AS (SELECT p_partkey, {_SYMBOL} AS n, p_partkey % 8 = 3 AS deco FROM part), r AS (SELECT *, regexp_replace(n, '^(get|post|put|delete|patch)', '', 'i') AS rest FROM s)
+    SELECT p_partkey, CASE WHEN starts_with(n, 'get') THEN 'GET' WHEN starts_with(n, 'post') THEN 'POST' ELSE 'DELETE' END AS verb,
+    '/' || lower(regexp_replace(lower(substr(rest, 1, 1)) || substr(rest, 2), '([A-Z])', '/\\1', 'g')) AS path FROM r WHERE deco OR starts_with(n, 'get') OR starts_with(n, 'post')""")
+def route_signals(spark, d):
+    head = F.element_at(F.array(*map(F.lit, ("get", "List", "postUser", "x"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    name = F.concat(head, F.upper(F.substring("p_brand", 1, 1)), F.lower(F.substr("p_brand", F.lit(2))), F.lit("ById"))
+    deco = F.when(F.col("p_partkey") % 8 == 3, F.array(F.lit("@app.Delete('/x')")))
+    s = read(spark, d, "part").select("p_partkey", name.alias("n"), deco.alias("deco")).withColumn("verb", signals.route_verb(F.col("n"), F.col("deco")))
+    return s.where("verb is not null").select("p_partkey", "verb", signals.route_path(F.col("n")).alias("path"))
+
+
 def _markdown(spark: SparkSession, d: str) -> DataFrame:
     """Pages as markdown: headings and paragraphs of their html."""
     t = F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<nav>.*?</nav>", "")

@@ -99,8 +99,8 @@ def naming_class(name: Column) -> Column:
 
 
 def kebab_case(name: Column) -> Column:
-    split = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1-$2"), r"[\s_]+", "-")
-    return F.lower(split)
+    """listAPIKeys: list-api-keys. Digits and other characters part nothing."""
+    return F.lower(F.regexp_replace(F.regexp_replace(name, "([a-z])([A-Z])", "$1-$2"), "([A-Z]+)([A-Z][a-z])", "$1-$2"))
 
 
 def anchor(title: Column) -> Column:

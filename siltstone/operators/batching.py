@@ -12,6 +12,20 @@ def fixed_batches(rows: DataFrame, group: str, order: str, size: int = 4) -> Dat
     return rows.withColumn("batch", F.floor((n - 1) / size))
 
 
+def wave_plan(rows: DataFrame, group: str, order: str, capacities: list[int]) -> DataFrame:
+    """Adds wave and slot: each wave of a group fills the slots in turn, each to its capacity; a slot without capacity gets none.
+
+    capacities is a parameter, one number for each slot, not data.
+    """
+    at = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    out, total = rows.withColumn("__at", at), sum(capacities)
+    slot, upto = F.lit(None).cast("int"), total
+    for i in reversed(range(len(capacities))):
+        slot = F.when(F.col("__at") % total < upto, i).otherwise(slot) if capacities[i] else slot
+        upto -= capacities[i]
+    return out.withColumns({"wave": F.floor(F.col("__at") / total), "slot": slot}).drop("__at")
+
+
 def last_n(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """The last n rows of each group."""
     r = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order)))
