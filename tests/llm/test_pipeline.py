@@ -1,6 +1,6 @@
 import corpus_pipeline as P
 
-from siltstone.llm import importance, packing, rules, secrets, simhash
+from siltstone.llm import importance, packing, rules, secrets, similar
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -13,7 +13,7 @@ def test_stages(spark, sf_dir, tmp_path):
         if i < 4:
             assert docs.columns == columns and 0 < docs.count() <= before.count(), name
         if i == 2:
-            assert simhash.near_duplicates(before).where("first").count() == docs.count() == simhash.deduplicated(docs).count()
+            assert similar.groups(before).where("first").count() == docs.count() == similar.deduplicated(docs).count()
         if i == 3:
             spans = secrets.scan(before).where("size(spans) > 0").count()
             assert docs.count() == before.count() and docs.where("text like '%[secret]%'").count() >= spans > 0
