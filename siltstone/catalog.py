@@ -256,7 +256,7 @@ def import_resolve(spark, d):
     SELECT doc_id, cited, line, coalesce(line BETWEEN 1 AND line_count, false) AS valid FROM c LEFT JOIN f USING (cited)""")
 def citation_validate(spark, d):
     docs = read(spark, d, "documents")
-    note = F.concat(F.substring("text", 1, 40), F.lit(" ["), "source", F.lit(":"), (F.col("doc_id") * 37 % 60000).cast("string"), F.lit("]"))
+    note = F.concat("text", F.lit(" ["), "source", F.lit(":"), (F.col("doc_id") * 37 % 60000).cast("string"), F.lit("]"))
     cited = resolve.citations(docs.select("doc_id", note.alias("t")), "doc_id", "t")
     return resolve.validate_citations(cited, docs.groupBy(F.col("source").alias("cited")).agg(F.max("n_chars").alias("line_count"))).select("doc_id", "cited", "line", "valid")
 

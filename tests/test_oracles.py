@@ -36,3 +36,11 @@ def test_oracle(spark, db, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_citations_are_sought_in_whole_texts(spark, tmp_path):
+    long = "word " * 40 + "[b.txt:3] and " + "[a.txt:99] at the end"
+    docs = spark.createDataFrame([(1, long, "en", "a.txt", 10), (2, "short", "en", "b.txt", 100)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.cited, r.line, r.valid) for r in QUERIES["citation_validate"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "b.txt", 3, True), (1, "a.txt", 99, False), (1, "a.txt", 37, False), (2, "b.txt", 74, True)}
