@@ -163,7 +163,7 @@ def impact_reach(spark, d):
     return graph.impact(e, e.agg(F.min("dst").alias("node"))).select("node")
 
 
-@query()
+@query(f"WITH RECURSIVE {_EDGES}, r(start, node) AS (SELECT src, dst FROM e UNION SELECT start, dst FROM r JOIN e ON src = node) SELECT DISTINCT start AS node FROM r WHERE start = node")
 def cycle_members(spark, d):
     return graph.cycle_members(part_graph(spark, d))
 

@@ -46,14 +46,61 @@ def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return out if out is not None else frontier.withColumn("depth", F.lit(0).cast("bigint"))
 
 
-def cycle_members(edges: DataFrame) -> DataFrame:
-    """(node): nodes on a cycle or between cycles, whatever the order of rows: nodes without a way in or a way out are taken away until none is left to take."""
-    e = _cut(edges.select("src", "dst").distinct())
+def _trimmed(e: DataFrame) -> DataFrame:
+    """e (src, dst, ...) without nodes that have no way in or no way out, again and again until none is left to take."""
     n = -1
     while (now := e.count()) != n:
         n = now
         e = _cut(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-    return e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return e
+
+
+def _reached(e: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, color): seeds (node, color) and all that they reach along edges (src, dst, color), whose colors hold for both ends."""
+    e = _cut(e.select("src", "dst"))
+    frontier = seen = _cut(seeds)
+    while True:
+        frontier = _cut(frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "color").distinct().join(seen, "node", "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.union(frontier)
+
+
+def _colors(e: DataFrame) -> DataFrame:
+    """(node, color): the smallest node that reaches a node, itself included."""
+    c = _cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("color", F.col("node")))
+    changed = c
+    while True:
+        least = changed.join(e, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("color").alias("least"))
+        new = c.join(least, F.col("node") == F.col("dst"), "left").select("node", F.least("color", "least").alias("color"), (F.col("least") < F.col("color")).alias("new"))
+        new = _cut(new)
+        c, changed = new.select("node", "color"), new.where("new").select("node", "color")
+        if changed.isEmpty():
+            return c
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(node): nodes that reach themselves, whatever the order of rows.
+
+    Nodes without a way in or out are taken away. Every node gets the smallest node that reaches it as its color; what
+    reaches that node within the color is its strongly connected component, which is on cycles if it has an edge within.
+    Components are taken away with their edges, and so are edges between colors, until no edge is left.
+    """
+    e, out = _trimmed(_cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())), None
+    empty = e.select(F.col("src").alias("node")).limit(0)
+    while not e.isEmpty():
+        c = _colors(e)
+        of_src, of_dst = c.toDF("src", "color"), c.toDF("dst", "color2")
+        own = _cut(e.join(of_src, "src").join(of_dst, "dst").where("color = color2").select("src", "dst", "color"))
+        back = own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "color")
+        found = _cut(_reached(back, c.where("node = color")))
+        ends = found.select("node")
+        within = own.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        members = _cut(within.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+        out = members if out is None else out.union(members)
+        left = own.join(ends.withColumnRenamed("node", "src"), "src", "left_anti").join(ends.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        e = _trimmed(_cut(left.select("src", "dst")))
+    return empty if out is None else out
 
 
 def neighbour_scores(edges: DataFrame, target: DataFrame) -> DataFrame:

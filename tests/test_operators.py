@@ -128,3 +128,12 @@ def test_rules(spark):
     assert [r.subject for r in rules.undocumented(s).collect()] == ["f"] and rules.missing_types(s).count() == 2
     m = spark.createDataFrame([("a/b/c/d/e/f.ts", 501, 0, 0), ("config/x.ts", 900, 0, 1), ("y.ts", 500, 31, 2)], "path string, line_count int, n_symbols int, ordinal int")
     assert sorted(r.subject for r in rules.oversized(m).collect()) == ["a/b/c/d/e/f.ts", "y.ts"] and rules.deep_nesting(m).count() == 1
+
+
+def test_cycle_members_are_not_between_cycles(spark):
+    pairs = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4), (6, 6), (5, 6), (6, 7), (8, 1), (20, 21), (21, 22), (22, 20), (20, 15), (15, 9), (9, 10), (10, 9)]
+    e = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "src int, dst int, ordinal int")
+    want = {1, 2, 4, 5, 6, 9, 10, 20, 21, 22}
+    assert {r.node for r in graph.cycle_members(e).collect()} == want
+    assert {r.subject for r in rules.circular(e).collect()} == want
+    assert graph.cycle_members(e.where("src < 1")).count() == 0 == graph.cycle_members(e.where("src = 2 and dst = 3")).count()
