@@ -97,7 +97,23 @@ def bow_similarity(spark, d):
     SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10""")
 def vector_topk(spark, d):
     e = read(spark, d, "embeddings")
-    return retrieval.vector_topk(e, e.where("vec_id = 0"), "vec_id", "embedding", 10)
+    return retrieval.vector_topk(e, e.where("vec_id = 0"), "vec_id", "embedding", 10).select("vec_id", "score")
+
+
+_RANKED = "SELECT query_id, {0}, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {0}) AS rank FROM s) WHERE rank <= 10"
+
+
+@query("WITH s AS (SELECT q.vec_id AS query_id, t.vec_id, round(list_cosine_similarity(t.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings t WHERE q.vec_id % 100 = 0) " + _RANKED.format("vec_id"))
+def vector_topk_multi(spark, d):
+    e = read(spark, d, "embeddings")
+    return retrieval.vector_topk(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+
+
+@query(_BOW + """, v AS (SELECT doc_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM b),
+    s AS (SELECT q.doc_id AS query_id, v.doc_id, round(sum(v.x * q.x), 5) AS score FROM v JOIN v q USING (bucket) WHERE q.doc_id % 100 = 0 GROUP BY ALL) """ + _RANKED.format("doc_id"))
+def bow_similarity_multi(spark, d):
+    v = retrieval.bow_vectors(retrieval.bow_counts(read(spark, d, "documents"), "doc_id", F.col("text")), "doc_id")
+    return retrieval.vector_topk(v, v.where("doc_id % 100 = 0"), "doc_id", "vector", 10, digits=5).where("score > 0")
 
 
 @query("""SELECT lang, source, count(*) AS files, sum(n_chars)::BIGINT AS chars, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines FROM documents GROUP BY lang, source""")

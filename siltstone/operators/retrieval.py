@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +61,37 @@ def bow_vectors(counts: DataFrame, id_col: str, buckets: int = 256) -> DataFrame
     return m.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector"))
 
 
-def vector_topk(vectors: DataFrame, query: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """(id, score) of the k most similar to the one row of query; scores of any sign count; ties to the smaller id."""
-    q = query.select(F.col(vector_col).alias("__q")).limit(1)
-    scored = vectors.crossJoin(F.broadcast(q)).select(id_col, F.round(cosine(F.col(vector_col), F.col("__q")), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), id_col).limit(k)
+#: Query rows and table rows of one block of similarities.
+BLOCK = 2048
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, digits: int = 6) -> DataFrame:
+    """(query_id, id, score, rank) of the k most similar rows to each row of queries; scores of any sign count; ties to the smaller id.
+
+    Blocks of queries meet blocks of rows, each giving k rows a query at most; vectors of one length, 0 for one without length.
+    """
+
+    def blocks(rows: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+        n = max(1, -(-rows.count() // BLOCK))
+        own = rows.select(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"), F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+        return own.groupBy("block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs")).toDF(*names)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(vs) -> np.ndarray:
+            v = np.array(vs.as_py(), np.float64)
+            size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+
+        for batch in batches:
+            for qi, qv, ti, tv in zip(*(batch.column(c) for c in ("qi", "qv", "ti", "tv")), strict=True):
+                q, t, score = np.array(qi.as_py(), np.int64), np.array(ti.as_py(), np.int64), np.round(unit(qv) @ unit(tv).T, digits)
+                top = [np.lexsort((t, -x))[:k] for x in score]
+                n = [x.size for x in top]
+                at = np.concatenate(top)
+                row = np.repeat(np.arange(q.size), n)
+                yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(t[at]), pa.array(score[row, at])], names=["query_id", id_col, "score"])
+
+    met = blocks(queries, ("qb", "qi", "qv")).crossJoin(blocks(vectors, ("tb", "ti", "tv")))
+    found = met.repartition("qb", "tb").mapInArrow(best, f"query_id bigint, {id_col} bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
+    return found.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)

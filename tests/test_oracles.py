@@ -44,3 +44,8 @@ def test_citations_are_sought_in_whole_texts(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.doc_id, r.cited, r.line, r.valid) for r in QUERIES["citation_validate"](spark, str(tmp_path)).collect()}
     assert got == {(1, "b.txt", 3, True), (1, "a.txt", 99, False), (1, "a.txt", 37, False), (2, "b.txt", 74, True)}
+
+
+def test_every_hundredth_row_is_a_query(spark, sf_dir):
+    got = {r.query_id for r in QUERIES["vector_topk_multi"](spark, sf_dir).collect()}
+    assert got == {r.vec_id for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 100 = 0").collect()} and len(got) > 1
