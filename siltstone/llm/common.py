@@ -27,6 +27,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """k1, k2: two hashes that name a row by its id and text, in whatever way the table is scanned. Never null."""
+    own, text = F.col(id_col).cast("bigint"), F.col(text_col).cast("string")
+    one = lambda seed: F.xxhash64(F.lit(seed), own.isNull(), own, text.isNull(), text)
+    return one(1).alias("k1"), one(2).alias("k2")
+
+
+#: Joins send their smaller side to all executors if it has at most this many narrow rows (some 32 MB); beyond, both are shuffled.
+BROADCAST_ROWS = 1 << 18
+
+
+def matched(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
+    """rows joined with few, which has narrow rows and is a checkpoint: it is counted first."""
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, how)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row even where body uses it in a lambda."""
     return F.transform(F.array(value), body)[0]
