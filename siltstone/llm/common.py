@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -14,10 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only a session without one (tests) gets a temporary folder."""
+    """The folder in spark.checkpoint.dir, which all executors share. Only a session on one machine may be without one, and gets a temporary folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltstone-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -27,11 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """k1, k2: two hashes that name a row by its id and text, in whatever way the table is scanned. Never null."""
-    own, text = F.col(id_col).cast("bigint"), F.col(text_col).cast("string")
-    one = lambda seed: F.xxhash64(F.lit(seed), own.isNull(), own, text.isNull(), text)
-    return one(1).alias("k1"), one(2).alias("k2")
+def row_key(*columns: Column) -> tuple[Column, Column]:
+    """k1, k2: two hashes that name a row by some of its columns, in whatever way the table is scanned. Never null."""
+    told = [x for c in columns for x in (c.isNull(), c)]
+    return F.xxhash64(F.lit(1), *told).alias("k1"), F.xxhash64(F.lit(2), *told).alias("k2")
+
+
+def id_and_text(id_col: str, text_col: str) -> tuple[Column, Column]:
+    return F.col(id_col).cast("bigint"), F.col(text_col).cast("string")
 
 
 #: Joins send their smaller side to all executors if it has at most this many narrow rows (some 32 MB); beyond, both are shuffled.
@@ -43,6 +50,11 @@ def matched(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFra
     return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, how)
 
 
+def without(docs: DataFrame, key: tuple[Column, Column], gone: DataFrame) -> DataFrame:
+    """docs, with all columns, without the rows whose key is one of gone (k1, k2), which is a checkpoint."""
+    return matched(docs.select(F.struct("*").alias("row"), *key), gone, ["k1", "k2"], "left_anti").select("row.*")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row even where body uses it in a lambda."""
     return F.transform(F.array(value), body)[0]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut
+from siltstone.llm.common import cut, id_and_text, row_key, without
 from siltstone.llm.symbols import blocks, strings, sums, trigrams
 
 N_BUCKETS = 1 << 15
@@ -21,15 +21,21 @@ MAX_LABELLED = 20_000
 
 
 def buckets(grams: np.ndarray) -> np.ndarray:
-    return ((grams * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
+    return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int64)
 
 
 def _langs(column: pa.Array, known: dict[str, int]) -> np.ndarray:
     return np.asarray([known.get(x, len(known)) for x in column.to_pylist()], np.int64)
 
 
-def gram_counts(docs: DataFrame, known: dict[str, int], text_col: str, lang_col: str) -> np.ndarray:
-    """(languages + 1, N_BUCKETS) counts of hashed trigrams over all of docs; one dense table a task, summed in Spark."""
+def _own(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(id, text, lang): nothing else of docs is read, and no other name can clash."""
+    own, text = id_and_text(id_col, text_col)
+    return docs.select(own.alias("id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"))
+
+
+def gram_counts(docs: DataFrame, known: dict[str, int]) -> np.ndarray:
+    """(languages + 1, N_BUCKETS) counts of hashed trigrams over all of docs (text, lang); one dense table a task, summed in Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(known) + 1) * N_BUCKETS, np.int64)
@@ -42,8 +48,7 @@ def gram_counts(docs: DataFrame, known: dict[str, int], text_col: str, lang_col:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["b", "n"])
 
-    own = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    t = own.mapInArrow(run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    t = docs.select("text", "lang").mapInArrow(run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((len(known) + 1) * N_BUCKETS)
     out[t["b"].to_numpy()] = t["n"].to_numpy()
     return out.reshape(-1, N_BUCKETS)
@@ -68,18 +73,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     Each language has its own pair of models, so that a language's share among the labels counts for nothing. The target's
     counts are smoothed by smooth grams of the raw model, so what no label tells of has weight one.
     """
-    many = docs.groupBy(F.col(lang_col).cast("string").alias("lang")).count().where("lang is not null").orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    own = _own(docs, id_col, text_col, lang_col)
+    many = own.groupBy("lang").count().where("lang is not null").orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
     known = {r.lang: i for i, r in enumerate(many.collect())}
-    some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, (F.col(label_col) > 0).alias("__good"))
-    some = cut(some.orderBy(F.xxhash64(id_col), id_col).limit(max_labelled))
-    good = some.where("__good").select(F.col(id_col).alias("__id")).distinct()
-    target_docs = docs.join(F.broadcast(good), F.col(id_col) == F.col("__id"), "left_semi")
-    raw = gram_counts(docs, known, text_col, lang_col)
-    target = gram_counts(target_docs, known, text_col, lang_col)
+    told = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null")
+    some = cut(told.select("id", (F.col("label") > 0).alias("good")).orderBy(F.xxhash64("id"), "id", "good").limit(max_labelled))
+    good = some.where("good").select("id").distinct()
+    raw = gram_counts(own, known)
+    target = gram_counts(own.join(F.broadcast(good), "id", "left_semi"), known)
     p_raw = (raw + 1e-9) / (raw + 1e-9).sum(axis=1, keepdims=True)
     p_target = (target + smooth * p_raw) / (target.sum(axis=1, keepdims=True) + smooth)
     ratio = np.log(np.maximum(p_target, 1e-12) / p_raw)
-    n, n_good = some.agg(F.count("*"), F.count_if("__good")).first()
+    n, n_good = some.agg(F.count("*"), F.count_if("good")).first()
     return Weights(known, np.clip(ratio, -6, 6), n_good / n if n else 1.0)
 
 
@@ -117,11 +122,16 @@ def _scored(docs: DataFrame, weights: Weights, id_col: str, text_col: str, lang_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = _batch_weights(shared.value, batch.column(1), batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(w + batch.column(3).to_numpy(zero_copy_only=False))], names=["doc_id", "log_weight", "key"])
+            w = _batch_weights(shared.value, batch.column(3), batch.column(4))
+            key = w + batch.column(5).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(w), pa.array(key)], names=["k1", "k2", "doc_id", "log_weight", "key"])
+
+    own = _own(docs, id_col, text_col, lang_col).select(*_key("id", "text", "lang"), "id", "lang", "text", gumbel("id", seed).alias("g"))
+    return own.mapInArrow(run, "k1 bigint, k2 bigint, doc_id bigint, log_weight double, key double")
 
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), gumbel(id_col, seed).alias("g"))
-    return own.mapInArrow(run, "doc_id bigint, log_weight double, key double")
+
+def _key(id_col: str, text_col: str, lang_col: str) -> tuple[Column, Column]:
+    return row_key(*id_and_text(id_col, text_col), F.col(lang_col).cast("string"))
 
 
 def _batch_weights(weights: Weights, lang: pa.Array, text: pa.Array) -> np.ndarray:
@@ -150,20 +160,13 @@ def resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, margin
     weights = fit(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, label_col=label_col)
     scored = cut(_scored(docs, weights, id_col, text_col, lang_col, seed))
     k = sample_size(scored, weights, margin) if k is None else k
-    return scored.withColumn("selected", F.col("key") >= top_k_threshold(scored, "key", k))
+    return scored.select("doc_id", "log_weight", "key", (F.col("key") >= top_k_threshold(scored, "key", k)).alias("selected"))
 
 
 def selected(docs: DataFrame, labels: DataFrame, *, margin: float = 8.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that resample() selects, with all columns: texts are weighed again rather than shuffled."""
+    """The rows of docs that resample() selects, with all columns."""
     weights = fit(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col)
     scored = cut(_scored(docs, weights, id_col, text_col, lang_col, seed))
     least = top_k_threshold(scored, "key", sample_size(scored, weights, margin))
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            keep = _batch_weights(shared.value, batch.column(lang_col).cast(pa.string()), batch.column(text_col)) + g >= least
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
-
-    return docs.withColumn("__gumbel", gumbel(id_col, seed)).mapInArrow(run, docs.schema)
+    gone = cut(scored.where(F.col("key") < least).select("k1", "k2").distinct())
+    return without(docs, _key(id_col, text_col, lang_col), gone)

@@ -108,19 +108,20 @@ def held_out(id_col: str) -> Column:
 
 def fit(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_lang: int = 300, most: int = 4000, per_text: int = 4, epochs: int = 12) -> Network | None:
     """A network from at most per_lang texts of each language and most in all, least hashes of id first; per_text windows of each, spread evenly from its start to its end."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"))
-    h = F.xxhash64("__id")
-    ranked = known.withColumn("__r", F.row_number().over(Window.partitionBy("__lang").orderBy(h, "__id"))).where(F.col("__r") <= per_lang)
-    ids = cut(ranked.orderBy("__r", h, "__id").limit(most).select("__id", "__lang"))
-    room = F.greatest(F.length(text_col) - LENGTH, F.lit(0))
-    spread = [F.substring(text_col, F.floor(room * i / max(per_text - 1, 1)).cast("int") + 1, F.lit(LENGTH)) for i in range(per_text)]
-    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select("__id", "__lang", F.array_distinct(F.array(*spread)).alias("t")).orderBy("__id", "__lang", "t").limit(2 * most).collect()
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
+    h = F.xxhash64("id")
+    ranked = own.select("id", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "id"))).where(F.col("r") <= per_lang)
+    ids = cut(ranked.orderBy("r", h, "id").limit(most).select("id", "lang").distinct())
+    room = F.greatest(F.length("text") - LENGTH, F.lit(0))
+    spread = [F.substring("text", F.floor(room * i / max(per_text - 1, 1)).cast("int") + 1, F.lit(LENGTH)) for i in range(per_text)]
+    rows = own.join(F.broadcast(ids), ["id", "lang"]).select("id", "lang", F.array_distinct(F.array(*spread)).alias("t")).orderBy("id", "lang", "t").limit(2 * most).collect()
     x, y = [], []
-    langs = sorted({r["__lang"] for r in rows})
+    langs = sorted({r.lang for r in rows})
     for r in rows:
-        for t in r["t"]:
+        for t in r.t:
             x.append(windows(t.encode())[:1])
-            y.append(langs.index(r["__lang"]))
+            y.append(langs.index(r.lang))
     if not x:
         return None
     net = Network(langs)

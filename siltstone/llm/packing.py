@@ -42,8 +42,12 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        vocab = json.loads(Path(path).read_text())["model"]["vocab"]
+        model = json.loads(Path(path).read_text())["model"]
+        vocab, merges = model["vocab"], model["merges"]
         ranks = {bytes(byte_of[c] for c in k): v for k, v in vocab.items() if k not in self.special}
+        merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in merges]
+        if any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+            raise ValueError(f"the ids of {path} are not in the order of its merges")
         self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> np.ndarray:
@@ -152,6 +156,6 @@ def pack(docs: DataFrame, *, path: str | None = None, capacity: int = 1024, end_
             off = pa.array([o for _, o in places], type=pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), seq, off], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    order = F.xxhash64("doc_id", "piece", "ids_crc32")
+    order = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())  # of a checkpoint, so for good; equal rows go apart
     dealt = pieces.withColumn("__o", order).repartition(tasks, "__o").sortWithinPartitions("__o", "doc_id", "piece", "length", "ids_crc32")
     return dealt.drop("__o").mapInArrow(run, PIECES + ", sequence_id bigint, offset bigint")

@@ -1,4 +1,4 @@
-"""Texts as small symbols: character trigrams in 24 bits, whatever the script."""
+"""Character trigrams of texts, exact in 63 bits, whatever the script."""
 
 from __future__ import annotations
 
@@ -7,22 +7,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-N_SYMBOLS = 256
+#: Bits of a code point.
+BITS = 21
 BLOCK = 1 << 21
 
 
-def symbols(text: str) -> np.ndarray:
-    """Code points below 192 as they are, others folded to 192..255."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return np.where(c < 192, c, 192 + c % 64).astype(np.uint32)
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The trigram that ends at each character of each text (two zeros stand before), and the texts' lengths."""
-    parts, zeros = [], np.zeros(2, np.uint32)
+    parts, zeros = [], np.zeros(2, np.int64)
     for t in texts:
-        s = np.concatenate([zeros, symbols(t)])
-        parts.append((s[:-2] << 16) | (s[1:-1] << 8) | s[2:])
+        s = np.concatenate([zeros, code_points(t)])
+        parts.append((s[:-2] << 2 * BITS) | (s[1:-1] << BITS) | s[2:])
     return np.concatenate(parts) if parts else zeros[:0], np.asarray([p.size for p in parts], np.int64)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -66,13 +67,13 @@ def host_edges(pages: DataFrame, *, url_col: str, html_col: str) -> DataFrame:
     return links.select("src", host_of(full).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 24, cut_every: int = 4, least_change: float = 1e-9) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, cut_every: int = 8, least_change: float = 1e-7) -> DataFrame:
     """(host, trust, distrust): personalised PageRank of trust along links, and of distrust against them.
 
     edges (src, dst, n); seeds (host, trust, distrust), one row for each host, weights 0 to 1. A host hands on its
-    trust in the shares of its links, and its distrust to those that link to it in the shares of their links. Minima of
-    work: edges are summed by pair of hosts, both walks share one join and one sum a round. Stops when a block of
-    rounds changes less than least_change in all.
+    trust in the shares of its links, and its distrust to those that link to it in the shares of their links. Edges are
+    summed by pair of hosts, and both walks share one join and one sum a round. Ends when cut_every rounds change no host by
+    more than least_change. Each round passes on at most damping of what changed, so that comes after a known number of rounds; more is an error.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("all"))
@@ -83,7 +84,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     linked = edges.select(F.explode(F.array("src", "dst")).alias("host")).select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
     nodes = seeds.select("host", "trust", "distrust").union(linked).select("host", kinds).groupBy("host", "k.good").agg(F.max("k.seed").alias("seed"))
     state = cut(nodes.withColumn("x", (1 - damping) * F.col("seed")))
-    for _ in range(-(-rounds // cut_every)):
+    mass = state.agg(F.sum("seed")).first()[0] or 0.0
+    most = 1 + cut_every + math.ceil(math.log(max(mass, least_change) / least_change) / -math.log(damping))
+    for done in range(0, most + cut_every, cut_every):
+        if done >= most:
+            raise RuntimeError("the walk does not come to rest: shares of links must not sum to over 1")
         began, now = state, state
         for _ in range(cut_every):
             s = now.select(F.col("good").alias("g"), "host", "x")
@@ -93,7 +98,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
                 "host", "good", "seed", ((1 - damping) * F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("x")
             )
         state = cut(now.join(began.select("host", "good", F.col("x").alias("was")), ["host", "good"]))
-        change = state.agg(F.sum(F.abs(F.col("x") - F.col("was")))).first()[0]
+        change = state.agg(F.max(F.abs(F.col("x") - F.col("was")))).first()[0]
         state = state.drop("was")
         if not change or change < least_change:
             break

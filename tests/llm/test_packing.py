@@ -22,6 +22,20 @@ def test_ids_are_the_tokenizers(enc):
         assert enc.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_a_whole_table(enc, spark):
+    tok = Tokenizer.from_file(tokenizer_path())
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert enc.encode(t).tolist() == e.ids
+
+
+def test_equal_rows_go_to_different_tasks(spark):
+    docs = spark.createDataFrame([(None, "")] * 4000 + [(7, "same text")] * 4000, "doc_id bigint, text string").repartition(4)
+    out = pack(docs, pieces_per_task=2000)
+    by_task = [r["count"] for r in out.groupBy(out.sequence_id.bitwiseAND(~((1 << 40) - 1)).alias("task")).count().collect()]
+    assert len(by_task) == 4 and max(by_task) < 2600
+
+
 def test_cut_points():
     assert cut_points(5, 4) == [(0, 1), (1, 4)]
     assert cut_points(8, 4) == [(0, 4), (4, 4)]
