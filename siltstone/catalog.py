@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import batching, folds, graph, maintain, resolve, retrieval, rules, signals, validate
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from siltstone.operators import batching, folds, graph, maintain, modules, resolve, retrieval, rules, signals, validate
+from siltstone.plans import code_queries
+from siltstone.registry import ORACLES, QUERIES, query, read
 
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+__all__ = ["ORACLES", "QUERIES", "code_queries"]
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -123,9 +107,7 @@ def lang_stats(spark, d):
 
 @query("""SELECT lang, count(*) AS n, floor(count(*) * 100.0 / (SELECT count(*) FROM documents) + 0.5)::BIGINT AS percent FROM documents GROUP BY lang""")
 def lang_share(spark, d):
-    docs = read(spark, d, "documents")
-    n = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select("lang", "n", F.floor(F.col("n") * 100.0 / F.col("all") + 0.5).alias("percent"))
+    return modules.share(read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")), "n")
 
 
 @query("SELECT substr(sha256(text), 1, 16) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -369,19 +351,31 @@ def chunk_pages(spark, d):
     return folds.chunk_pages(_markdown(spark, d), "page_id", "md")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id::VARCHAR AS path, ceil(length(text) / 4.0)::BIGINT AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id % 11 DESC, doc_id) AS n FROM documents),
+    r AS (SELECT source, path, size, n, size <= 8000 AS taken, CASE WHEN size <= 8000 THEN size ELSE 0 END AS used FROM d WHERE n = 1
+      UNION ALL SELECT d.source, d.path, d.size, d.n, r.used < 8000 AND d.size <= 8000 - r.used, r.used + CASE WHEN r.used < 8000 AND d.size <= 8000 - r.used THEN d.size ELSE 0 END FROM r JOIN d ON d.source = r.source AND d.n = r.n + 1)
+    SELECT source, path, size, used::BIGINT AS used FROM r WHERE taken""")
 def greedy_context(spark, d):
     docs = read(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("path"), (F.col("doc_id") % 11 / 10).alias("score"), F.col("doc_id").alias("ordinal"), T.estimate_tokens(F.col("text")).alias("size"))
     return folds.greedy_context(docs, "source", 8000)
 
 
-@query()
+_FOLDERS = "SELECT source, lang || '/' || doc_id % 5 AS leaf, lang AS top, lang || '/' || doc_id % 5 || '/' || doc_id AS path, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents"
+
+
+@query(f"""WITH RECURSIVE d AS ({_FOLDERS}), r AS (SELECT source, n, path, true AS taken, [leaf] AS leaves, [top] AS tops FROM d WHERE n = 1
+      UNION ALL SELECT source, n, path, ok, CASE WHEN ok THEN list_append(leaves, leaf) ELSE leaves END, CASE WHEN ok THEN list_append(tops, top) ELSE tops END FROM
+      (SELECT d.source, d.n, d.path, d.leaf, d.top, r.leaves, r.tops, len(r.leaves) < 20 AND len(list_filter(r.leaves, lambda x: x = d.leaf)) < 4 AND len(list_filter(r.tops, lambda x: x = d.top)) < 6 AS ok FROM r JOIN d ON d.source = r.source AND d.n = r.n + 1))
+    SELECT source, path, place FROM (SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY NOT taken, n) - 1 AS place FROM r) WHERE place < 20""")
 def diverse_select(spark, d):
     docs = read(spark, d, "documents").select("source", F.concat_ws("/", F.col("lang"), (F.col("doc_id") % 5).cast("string"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").cast("double").alias("score"), F.col("doc_id").alias("ordinal"))
     return folds.diverse_select(docs, "source", 20)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS n FROM events),
+    r AS (SELECT user_id, event_id, t, n, true AS accepted, [t] AS recent FROM e WHERE n = 1
+      UNION ALL SELECT user_id, event_id, t, n, len(kept) < 2, CASE WHEN len(kept) < 2 THEN list_append(kept, t) ELSE kept END FROM (SELECT e.*, list_filter(r.recent, lambda x: e.t - x < 36000) AS kept FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+    SELECT user_id, event_id, t, accepted FROM r""")
 def rate_limit_exact(spark, d):
     from siltstone.streaming.limits import rate_limited
 

@@ -43,7 +43,7 @@ def daily_quota(events: DataFrame, user: str, ts: str, most: int) -> DataFrame:
 
 
 def trailing_counts(events: DataFrame, user: str, ts: str, seconds: int) -> DataFrame:
-    """Adds n_before: earlier events of the user in the last seconds, rejected or not; so an upper bound of what a limiter sees."""
+    """Adds n_in_window: events of the user in the last seconds, this one included, rejected or not; so an upper bound of what a limiter sees."""
     w = Window.partitionBy(user).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("n_in_window", F.count("*").over(w))
 
@@ -68,3 +68,63 @@ def first_in_interval(left: DataFrame, right: DataFrame, key: str, before: int,
     near = a.join(b, [key, "__b"]).where((F.col("rt") >= F.col("t") - before) & (F.col("rt") <= F.col("t") + after))
     best = near.groupBy("id").agg(F.min(F.struct("rt", "rid")).alias("m"))
     return best.select("id", F.col("m.rid").alias("match_id"), F.col("m.rt").alias("match_t"))
+
+
+#: Headings of commit types, in order.
+TYPE_LABELS = {
+    "feat": "Features", "fix": "Bug Fixes", "docs": "Documentation", "refactor": "Refactoring", "test": "Tests", "chore": "Chores", "perf": "Performance", "ci": "CI/CD",
+    "style": "Style", "build": "Build", "other": "Other Changes",
+}
+
+
+def changelog(commits: DataFrame, tags: DataFrame | None = None, *, per_type: int = 20, per_tag: int = 50) -> DataFrame:
+    """(repo, tag, type_order, label, place, hash, title): commits (repo, hash, message, ordinal: newest first) under tags and headings.
+
+    tags (repo, tag, ordinal): the newest commit of each version. A commit belongs to the last tag before or at it in its repository's log,
+    per_tag of a tag at most, and is unreleased (null) before the first. Without tags: per_type of each type at most.
+    """
+    from siltstone.functions.text import COMMIT_TYPES, commit_type
+
+    title = F.regexp_replace("message", rf"^({'|'.join(COMMIT_TYPES)})(\([^)]*\))?:\s*", "")
+    order = F.create_map(*(F.lit(x) for i, k in enumerate(TYPE_LABELS) for x in (k, i)))[F.col("type")]
+    label = F.create_map(*(F.lit(x) for kv in TYPE_LABELS.items() for x in kv))[F.col("type")]
+    rows = commits.select("repo", "ordinal", "hash", commit_type(F.col("message")).alias("type"), title.alias("title"))
+    none = F.lit(None).cast("string")
+    if tags is None:
+        rows, part, most = rows.withColumn("tag", none), ["repo", "type"], per_type
+    else:
+        marks = tags.select("repo", "ordinal", none.alias("hash"), none.alias("type"), none.alias("title"), F.col("tag").alias("mark"))
+        w = Window.partitionBy("repo").orderBy("ordinal", F.col("mark").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+        both = rows.withColumn("mark", none).unionByName(marks).withColumn("tag", F.last("mark", ignorenulls=True).over(w))
+        rows, part, most = both.where("hash is not null"), ["repo", "tag"], per_tag
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("ordinal", "hash"))
+    return rows.withColumn("place", place).where(F.col("place") <= most).select("repo", "tag", order.alias("type_order"), label.alias("label"), "place", "hash", "title")
+
+
+def top_by_severity(findings: DataFrame, n: int = 20) -> DataFrame:
+    """The n gravest findings (severity, ordinal): critical, warning, info; ties in order."""
+    grave = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return findings.withColumn("grave", grave).orderBy("grave", "ordinal").limit(n).drop("grave")
+
+
+def newest_versions(tags: DataFrame, most: int) -> DataFrame:
+    """The last most version tags (tag, ordinal), newest first as place 1."""
+    from siltstone.operators.modules import is_version_tag
+
+    w = Window.orderBy(F.desc("ordinal"))
+    best = tags.where(is_version_tag(F.col("tag"))).orderBy(F.desc("ordinal")).limit(most)
+    return best.withColumn("place", F.row_number().over(w)).select("tag", "place")
+
+
+def navigation(pages: DataFrame) -> DataFrame:
+    """Adds group_order and place to pages (path, title, nav_group, nav_order): groups by their least order, pages within by order, then title whatever its case, then path."""
+    groups = pages.groupBy("nav_group").agg(F.min("nav_order").alias("first_order"))
+    ranked = groups.withColumn("group_order", F.row_number().over(Window.orderBy("first_order", "nav_group")))
+    w = Window.partitionBy("nav_group").orderBy("nav_order", F.lower("title"), "title", "path")
+    return pages.join(F.broadcast(ranked.select("nav_group", "group_order")), "nav_group").withColumn("place", F.row_number().over(w))
+
+
+def path_lists(files: DataFrame, group: str) -> DataFrame:
+    """(group, n, digest, listing): sorted paths of a group, one a line. For groups of folder size; the listing is one text."""
+    paths = F.array_sort(F.collect_set("path"))
+    return files.groupBy(group).agg(paths.alias("p")).select(group, F.size("p").cast("bigint").alias("n"), F.array_join("p", "\n").alias("listing"))

@@ -1,9 +1,9 @@
-"""Operators that fold rows in order: page chunks, budgeted packing and capped selection. Each runs inside one group."""
+"""Operators that fold rows in order: page chunks, budgeted packing and capped selection."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import pandas as pd
@@ -77,37 +77,70 @@ def chunk_pages(pages: DataFrame, path_col: str, text_col: str, target: int = TA
     return own.mapInPandas(run, "page_path string, chunk_id string, chunk_ordinal bigint, heading string, content string, token_count bigint")
 
 
+def sorted_fold(rows: DataFrame, group: str, order: list, columns: list[str], schema: str, fold: Callable[[], tuple[Callable, Callable]]) -> DataFrame:
+    """Rows of each group in order, one at a time, through a fold: fold() gives (step, finish) for a new group; step(*columns) and finish() give rows of schema without the group.
+
+    Groups are dealt to tasks and sorted there, spilling as needed; a task holds one batch and one group's state, however large the group is.
+    """
+    kind = dict(rows.dtypes)[group]
+    names = [group, *(c.strip().split()[0] for c in schema.split(","))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, step, finish = None, None, None
+        for b in batches:
+            out = []
+            for g, *values in b.itertuples(index=False, name=None):
+                if step is None or g != key:
+                    out += [(key, *r) for r in finish()] if finish else []
+                    key, (step, finish) = g, fold()
+                out += [(g, *r) for r in step(*values)]
+            yield pd.DataFrame(out, columns=names)
+        if finish:
+            yield pd.DataFrame([(key, *r) for r in finish()], columns=names)
+
+    dealt = rows.where(F.col(group).isNotNull()).repartition(group).sortWithinPartitions(group, *order)
+    return dealt.select(group, *columns).mapInPandas(run, f"{group} {kind}, {schema}")
+
+
 def greedy_context(scored: DataFrame, group: str, budget: int) -> DataFrame:
     """(group, path, size, used): files by score (then ordinal) as long as they fit; a smaller one may follow one that did not."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        used, keep = 0, []
-        for r in rows.sort_values(["score", "ordinal"], ascending=[False, True]).itertuples():
-            if used < budget and r.size_ <= budget - used:
-                used += r.size_
-                keep.append((getattr(r, group), r.path, r.size_, used))
-        return pd.DataFrame(keep, columns=[group, "path", "size", "used"])
+    def fold():
+        used = 0
+
+        def step(path, size):
+            nonlocal used
+            if used >= budget or size > budget - used:
+                return []
+            used += size
+            return [(path, size, used)]
 
-    kind = dict(scored.dtypes)[group]
-    own = scored.select(group, "path", "score", "ordinal", F.col("size").cast("bigint").alias("size_"))
-    return own.groupBy(group).applyInPandas(fold, f"{group} {kind}, path string, size bigint, used bigint")
+        return step, lambda: []
+
+    own = scored.select(group, "path", "score", "ordinal", F.col("size").cast("bigint").alias("size"))
+    return sorted_fold(own, group, [F.desc("score"), "ordinal", "path"], ["path", "size"], "path string, size bigint, used bigint", fold)
 
 
 def diverse_select(scored: DataFrame, group: str, most: int) -> DataFrame:
-    """(group, path, place): the best by score with at most a fifth from one folder and three tenths from one top folder, then filled up in order."""
+    """(group, path, place): the best by score with at most a fifth from one folder and three tenths from one top folder, then filled up in order.
+
+    State is bounded by most: counts of folders chosen from, and the first most that were passed over.
+    """
     per_leaf, per_top = max(3, ceil(most * 0.2)), max(5, ceil(most * 0.3))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def fold():
         leaf, top, chosen, passed = {}, {}, [], []
-        for path in rows.sort_values(["score", "ordinal"], ascending=[False, True])["path"]:
+
+        def step(path):
             a, b = path.rpartition("/")[0], path.split("/")[0]
             if len(chosen) < most and leaf.get(a, 0) < per_leaf and top.get(b, 0) < per_top:
                 leaf[a], top[b] = leaf.get(a, 0) + 1, top.get(b, 0) + 1
                 chosen.append(path)
-            else:
+            elif len(passed) < most:
                 passed.append(path)
-        chosen += passed[: most - len(chosen)]
-        return pd.DataFrame([(rows[group].iloc[0], p, i) for i, p in enumerate(chosen)], columns=[group, "path", "place"])
+            return []
+
+        return step, lambda: [(p, i) for i, p in enumerate(chosen + passed[: most - len(chosen)])]
 
-    kind = dict(scored.dtypes)[group]
-    return scored.select(group, "path", "score", "ordinal").groupBy(group).applyInPandas(fold, f"{group} {kind}, path string, place bigint")
+    own = scored.select(group, "path", "score", "ordinal")
+    return sorted_fold(own, group, [F.desc("score"), "ordinal", "path"], ["path"], "path string, place bigint", fold)

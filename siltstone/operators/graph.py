@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """Materialised in the shared folder of spark.checkpoint.dir, with its lineage cut. Only a session on one machine may be without one."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltstone-"))
     return df.checkpoint(eager=True)
 
 
@@ -30,20 +35,25 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "node", "left_anti")
 
 
-def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node, depth): all that reach a seed along edges, seeds excluded; frontier by frontier, each cut in the checkpoint folder."""
-    back = _cut(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")).distinct())
-    frontier = _cut(seeds.select("node").distinct())
-    seen, depth, out = frontier, 0, None
+def impact(edges: DataFrame, seeds: DataFrame, steps: int = 4) -> DataFrame:
+    """(node, depth): all that reach a seed along edges, seeds excluded; depth is the fewest steps.
+
+    Frontier by frontier, so many steps a job. Edges are dealt by their target once. A step moves the frontier and leaves out what earlier jobs have
+    seen; the job's finds join the table of visited nodes with their least depth.
+    """
+    back = _cut(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")).distinct().repartition("a"))
+    seen = _cut(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("bigint")))
+    frontier, depth = seen.select("node"), 0
     while True:
-        depth += 1
-        frontier = _cut(frontier.join(back, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
+        found = seen
+        for _ in range(steps):
+            depth += 1
+            frontier = frontier.join(back, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+            found = found.unionByName(frontier.withColumn("depth", F.lit(depth).cast("bigint")))
+        seen = _cut(found.groupBy("node").agg(F.min("depth").alias("depth")))
+        frontier = seen.where(F.col("depth") == depth).select("node")
         if frontier.isEmpty():
-            break
-        found = frontier.withColumn("depth", F.lit(depth).cast("bigint"))
-        out = found if out is None else out.union(found)
-        seen = seen.union(frontier)
-    return out if out is not None else frontier.withColumn("depth", F.lit(0).cast("bigint"))
+            return seen.where("depth > 0")
 
 
 def _trimmed(e: DataFrame) -> DataFrame:
@@ -132,3 +142,45 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().agg(F.count("*").alias("n_nodes"))
     facts = edges.agg(F.count("*").alias("n_edges"), F.count_if("type_only").alias("n_type_only"))
     return facts.crossJoin(ends).withColumn("avg_edges", F.round(F.col("n_edges") / F.col("n_nodes"), 1))
+
+
+def neighbourhood(edges: DataFrame, shown: int = 8) -> DataFrame:
+    """(node, upstream, downstream, n_in, n_out, referenced_by): the first shown edges' other ends each way by ordinal, and the first shown sources by name.
+
+    Each list is cut by rank before it is gathered.
+    """
+    ends = edges.select(F.explode(F.array(F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("in").alias("way"), "ordinal"), F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("out").alias("way"), "ordinal"))).alias("e")).select("e.*")
+    by_order = F.row_number().over(Window.partitionBy("node", "way").orderBy("ordinal", "other"))
+    by_name = F.row_number().over(Window.partitionBy("node", "way").orderBy("other", "ordinal"))
+    lists = lambda rank, way: ends.withColumn("r", rank).where((F.col("r") <= shown) & (F.col("way") == way)).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "other"))), lambda x: x["other"]).alias("l"))
+    counts = ends.groupBy("node").agg(F.count_if(F.col("way") == "in").alias("n_in"), F.count_if(F.col("way") == "out").alias("n_out"))
+    out, empty = counts, F.array().cast(f"array<{dict(edges.dtypes)['src']}>")
+    for name, rank, way in (("upstream", by_order, "in"), ("downstream", by_order, "out"), ("referenced_by", by_name, "in")):
+        out = out.join(lists(rank, way).withColumnRenamed("l", name), "node", "left").withColumn(name, F.coalesce(name, empty))
+    return out
+
+
+def class_members(symbols: DataFrame, most: int = 10) -> DataFrame:
+    """(id, place, member, kind, visibility): the first most children (parent_id) of each symbol of the same file, by ordinal."""
+    place = F.row_number().over(Window.partitionBy("path", "parent_id").orderBy("ordinal", "name", "kind", "visibility"))
+    rows = symbols.where("parent_id is not null").withColumn("place", place).where(F.col("place") <= most)
+    return rows.join(symbols.select(F.col("id").alias("parent_id"), "path").distinct(), ["parent_id", "path"], "left_semi").select(F.col("parent_id").alias("id"), "place", F.col("name").alias("member"), "kind", "visibility")
+
+
+def class_hierarchy(symbols: DataFrame, most: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Classes (place, id, name, kind) of a diagram and its edges (base, name, relation).
+
+    Exported classes and interfaces that extend, implement or have members come first, by ordinal, then the others that these name; most in all.
+    An edge stands for each base among them.
+    """
+    kinds = symbols.where(F.col("exported") & F.col("kind").isin("class", "interface"))
+    parents = symbols.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().withColumn("has_children", F.lit(True))
+    told = kinds.join(parents, "id", "left").withColumn("own", F.col("extends").isNotNull() | (F.size(F.coalesce("implements", F.array().cast("array<string>"))) > 0) | F.coalesce("has_children", F.lit(False)))
+    first = told.where("own")
+    bases = first.select(F.explode(F.concat(F.array("extends"), F.coalesce("implements", F.array().cast("array<string>")))).alias("name")).where("name is not null").distinct()
+    named = told.where("not own").join(bases, "name", "left_semi").join(first.select("name"), "name", "left_anti")
+    both = first.withColumn("turn", F.lit(0)).unionByName(named.withColumn("turn", F.lit(1)))
+    chosen = both.orderBy("turn", "ordinal").limit(most).withColumn("place", F.row_number().over(Window.orderBy("turn", "ordinal")))
+    known = chosen.select(F.col("name").alias("base")).distinct()
+    links = chosen.select("name", F.explode(F.concat(F.array(F.struct(F.col("extends").alias("base"), F.lit("extends").alias("relation"))), F.transform(F.coalesce("implements", F.array().cast("array<string>")), lambda i: F.struct(i.alias("base"), F.lit("implements").alias("relation"))))).alias("l")).select("l.base", "name", "l.relation")
+    return chosen.select("place", "id", "name", "kind"), links.where("base is not null").join(known, "base", "left_semi").distinct()

@@ -39,3 +39,35 @@ def drop_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends both still exist: made anew after deletes, so nothing stale stays."""
     keep = nodes.select("node")
     return edges.join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
+def without_deleted(rows: DataFrame, diffs: DataFrame, key: str) -> DataFrame:
+    """rows but those whose key diffs (path, status) calls deleted."""
+    return rows.join(diffs.where("status = 'deleted'").select(F.col("path").alias(key)).distinct(), key, "left_anti")
+
+
+def ordered_union(first: DataFrame, second: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """(key, place): keys of both without repeats, those of first before new ones of second, each in order."""
+    both = first.select(key, F.lit(0).alias("turn"), ordinal).unionByName(second.select(key, F.lit(1).alias("turn"), ordinal))
+    return both.groupBy(key).agg(F.min(F.struct("turn", ordinal)).alias("place"))
+
+
+def retried(results: DataFrame, again: DataFrame, key: str, value: str) -> DataFrame:
+    """results with empty values filled from a second attempt, and whether a row is still empty."""
+    more = again.where(F.coalesce(value, F.lit("")) != "").select(key, F.col(value).alias("__v"))
+    out = F.coalesce(F.nullif(value, F.lit("")), "__v")
+    return results.join(more, key, "left").withColumn(value, out).withColumn("failed", F.col(value).isNull()).drop("__v")
+
+
+def cached_summaries(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """wanted (path, content_hash, symbol) with summary from cache (key, summary, generated_at): of a symbol by content_hash:symbol, of a module by content_hash; the latest entry counts."""
+    latest = cache.groupBy("key").agg(F.max_by("summary", "generated_at").alias("summary"))
+    key = F.when(F.col("symbol").isNull(), F.col("content_hash")).otherwise(F.concat_ws(":", "content_hash", "symbol"))
+    return wanted.withColumn("key", key).join(latest, "key", "left")
+
+
+def merged_cache(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """One row for each key (key, summary, generated_at): the latest, fresh ones before cached ones of the same time."""
+    both = cache.withColumn("__f", F.lit(0)).unionByName(fresh.withColumn("__f", F.lit(1)))
+    last = both.groupBy("key").agg(F.max(F.struct("generated_at", "__f", "summary")).alias("m"))
+    return last.select("key", "m.summary", "m.generated_at")

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What is tried after an import's path.
-SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mts", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+#: What is tried after an import's path, and within a package after its folder.
+ENDINGS = (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+ENTRIES = ("/src/index.ts", "/src/index.tsx", "/src/index.js", "/src/index.jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/lib/index.ts", "/lib/index.js")
+#: Names that are types of the language.
+BUILTINS = (
+    "Promise Map Set Array Record Partial Error Buffer String Number Boolean Object Function Symbol RegExp Date Math JSON Uint8Array Int32Array Float64Array "
+    "ArrayBuffer SharedArrayBuffer DataView WeakMap WeakSet Proxy Reflect Intl Iterator Generator AsyncGenerator ReadableStream WritableStream TransformStream "
+    "Response Request Headers URL URLSearchParams FormData Blob File Omit Pick Required Readonly Exclude Extract NonNullable ReturnType Parameters InstanceType "
+    "ConstructorParameters Awaited Uppercase Lowercase Capitalize Uncapitalize"
+).split()
 
 
 def resolve_candidates(imports: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -16,7 +24,7 @@ def resolve_candidates(imports: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def relative_candidates(imports: DataFrame) -> DataFrame:
-    """Adds candidates for ./, ../ and @/ sources: the joined path, with and without its .js, and each suffix."""
+    """Adds candidates for sources that begin with a dot or @/: the joined path, with and without its .js, .mjs or .cjs, each as it is and with each ending."""
     folder = F.array_join(F.slice(F.split("src", "/"), 1, F.greatest(F.size(F.split("src", "/")) - 1, F.lit(0))), "/")
     raw = F.when(F.col("source").startswith("@/"), F.concat(F.lit("src/"), F.substr("source", F.lit(3)))).otherwise(F.concat_ws("/", F.when(folder != "", folder), F.col("source")))
     none = F.array().cast("array<string>")
@@ -26,15 +34,66 @@ def relative_candidates(imports: DataFrame) -> DataFrame:
         return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
 
     path = F.array_join(F.aggregate(F.split(raw, "/"), none, step), "/")
-    bare = F.regexp_replace(path, r"\.(js|jsx|mjs)$", "")
+    bare = F.regexp_replace(path, r"\.[mc]?js$", "")
     rows = imports.where(F.col("source").startswith(".") | F.col("source").startswith("@/")).withColumns({"__p": path, "__b": bare})
-    return rows.withColumn("candidates", F.array(*(F.concat(c, F.lit(s)) for c in ("__p", "__b") for s in SUFFIXES))).drop("__p", "__b")
+    return rows.withColumn("candidates", F.array(*(F.concat(c, F.lit(s)) for c in ("__p", "__b") for s in ("", *ENDINGS)))).drop("__p", "__b")
+
+
+def workspace_candidates(imports: DataFrame, packages: DataFrame) -> DataFrame:
+    """(src, import_ordinal, package_ordinal, candidates) for sources that are a package (name, dir, package_ordinal) or lie within one.
+
+    A source's own beginnings, cut at each slash, are its keys: an equality join.
+    """
+    parts = F.split("source", "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    each = imports.select("src", "import_ordinal", "source", F.explode(heads).alias("name")).join(packages, "name")
+    rest = F.substr("source", F.length("name") + 2)
+    at = F.concat(F.regexp_replace("dir", r"^\./", ""), F.lit(""))
+    within = F.array(*(F.concat(at, F.lit("/src/"), rest, F.lit(e)) for e in ENDINGS))
+    return each.select("src", "import_ordinal", "package_ordinal", F.when(F.col("source") == F.col("name"), F.array(*(F.concat(at, F.lit(e)) for e in ENTRIES))).otherwise(within).alias("candidates"))
+
+
+def build_graph(imports: DataFrame, nodes: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """(src, dst, type_only, ordinal): an edge for each import (src, import_ordinal, source, type_only) that resolves to a node (path, node_ordinal).
+
+    Local sources by their path; others by the packages, of which the first one wins in which a file is found. The rest is external. Import
+    ordinals are unique.
+    """
+    local = resolve_candidates(relative_candidates(imports), nodes)
+    found = local
+    if packages is not None:
+        far = imports.where(~F.col("source").startswith(".") & ~F.col("source").startswith("@/"))
+        each = workspace_candidates(far, packages).select("src", "import_ordinal", "package_ordinal", F.explode(F.array_distinct("candidates")).alias("path"))
+        best = each.join(nodes, "path").groupBy("src", "import_ordinal").agg(F.min_by("path", F.struct("package_ordinal", "node_ordinal")).alias("dst"))
+        found = local.unionByName(best)
+    return imports.join(found, ["src", "import_ordinal"]).select("src", "dst", "type_only", F.col("import_ordinal").alias("ordinal"))
+
+
+def external_sources(imports: DataFrame, edges: DataFrame) -> DataFrame:
+    """Imports that build_graph() found no file for."""
+    return imports.join(edges.select("src", F.col("ordinal").alias("import_ordinal")), ["src", "import_ordinal"], "left_anti")
+
+
+def symbol_pages(symbols: DataFrame) -> DataFrame:
+    """(name, page): where a name is documented: the first exported symbol of it, else the first one; symbols (path, name, exported, ordinal)."""
+    page = F.concat(F.lit("api/"), F.regexp_replace("path", r"\.[^.]+$", ""), F.lit(".md"))
+    return symbols.groupBy("name").agg(F.min_by(page, F.struct(~F.col("exported"), "ordinal")).alias("page"))
+
+
+def type_pages(symbols: DataFrame) -> DataFrame:
+    """(name, page) of exported interfaces, types, classes and enums: the last one of a name wins."""
+    page = F.concat(F.lit("api/"), F.regexp_replace("path", r"\.[^.]+$", ""), F.lit(".md"))
+    return symbols.where(F.col("exported") & F.col("kind").isin("interface", "type", "class", "enum")).groupBy("name").agg(F.max_by(page, "ordinal").alias("page"))
+
+
+#: A citation in a text: a name, which may hold spaces and colons, and a line.
+CITED = r"\[([^\]]+?):(\d+)\]"
 
 
 def citations(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, cited, line): each [name:line] in a text."""
-    names, lines = (F.regexp_extract_all(text_col, F.lit(r"\[([^\[\]:\s]+):(\d{1,9})\]"), F.lit(g)) for g in (1, 2))
-    return texts.select(id_col, F.explode(F.arrays_zip(names.alias("cited"), lines.alias("line"))).alias("c")).select(id_col, "c.cited", F.col("c.line").cast("bigint").alias("line"))
+    """(id, cited, line): each [name:line] in a text; lines beyond 64 bits are null."""
+    names, lines = (F.regexp_extract_all(text_col, F.lit(CITED), F.lit(g)) for g in (1, 2))
+    return texts.select(id_col, F.explode(F.arrays_zip(names.alias("cited"), lines.alias("line"))).alias("c")).select(id_col, "c.cited", F.expr("try_cast(c.line AS bigint)").alias("line"))
 
 
 def validate_citations(cited: DataFrame, files: DataFrame) -> DataFrame:
@@ -48,10 +107,40 @@ def nearest_names(names: DataFrame, known: DataFrame, least: int = 3) -> DataFra
 
     The first character and each of five lengths make an equality join, so nothing else is compared.
     """
-    n = names.distinct().join(known.select(F.col("known").alias("name")), "name", "left_anti")
+    n = names.distinct().where(~F.col("name").isin(*BUILTINS)).join(known.select(F.col("known").alias("name")), "name", "left_anti")
     n = n.withColumn("__c", F.substring("name", 1, 1)).withColumn("__l", F.explode(F.sequence(F.length("name") - 2, F.length("name") + 2)))
     k = known.select("known", "ordinal", F.substring("known", 1, 1).alias("__c"), F.length("known").alias("__l"))
     d = F.levenshtein("name", "known", least - 1)
     hits = n.join(k, ["__c", "__l"]).withColumn("d", d).where("d >= 0")
     best = F.row_number().over(Window.partitionBy("name").orderBy("d", "ordinal"))
     return hits.withColumn("__r", best).where("__r = 1").select("name", F.col("known").alias("fixed"), F.col("d").cast("bigint").alias("distance"))
+
+
+def quoted_names(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, name): capitalised names in backticks."""
+    return texts.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit("`([A-Z][a-zA-Z0-9_]+)`"), F.lit(1)))).alias("name"))
+
+
+def fixed_names(texts: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text): texts with each unknown name in backticks replaced by the nearest known one (known, ordinal), where there is one."""
+    named = quoted_names(texts, id_col, text_col)
+    pairs = named.join(nearest_names(named.select("name"), known), "name").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("name", "fixed"))).alias("pairs"))
+    out = F.aggregate("pairs", F.col(text_col), lambda t, p: F.replace(t, F.concat(F.lit("`"), p["name"], F.lit("`")), F.concat(F.lit("`"), p["fixed"], F.lit("`"))))
+    return texts.join(pairs, id_col, "left").select(id_col, F.coalesce(out, F.col(text_col)).alias(text_col))
+
+
+def rewritten_citations(texts: DataFrame, files: DataFrame, id_col: str, text_col: str, *, repository: str | None = None, branch: str = "main") -> DataFrame:
+    """(id, text, n_valid, n_dropped): citations of files (cited, line_count) become links, all others their name as code.
+
+    With a repository (its address) links lead to the file's line there, else to the file's page.
+    """
+    told = citations(texts, id_col, text_col).distinct()
+    mark = F.concat(F.lit("["), "cited", F.lit(":"), F.col("line").cast("string"), F.lit("]"))
+    page = F.concat(F.lit("api/"), F.regexp_replace("cited", r"\.[^.]+$", ""), F.lit(".md"))
+    to = page if repository is None else F.concat(F.lit(f"{repository.rstrip('/')}/blob/{branch}/"), "cited", F.lit("#L"), F.col("line").cast("string"))
+    new = F.when(F.col("valid"), F.concat(mark, F.lit("("), to, F.lit(")"))).otherwise(F.concat(F.lit("`"), "cited", F.lit("`")))
+    judged = validate_citations(told.where("line is not null"), files)
+    pairs = judged.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(mark.alias("old"), new.alias("new")))).alias("pairs"), F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_dropped"))
+    out = F.aggregate("pairs", F.col(text_col), lambda t, p: F.replace(t, p["old"], p["new"]))
+    zero = F.lit(0).cast("bigint")
+    return texts.join(pairs, id_col, "left").select(id_col, F.coalesce(out, F.col(text_col)).alias(text_col), F.coalesce("n_valid", zero).alias("n_valid"), F.coalesce("n_dropped", zero).alias("n_dropped"))

@@ -25,19 +25,11 @@ def term_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, k: int) -> DataFrame:
-    """(query_id, id, score, rank) of the k best for each query; queries (query_id, term), a repeated term counts again.
+def _corpus(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
-    Only query terms' postings are kept; N and the mean length come from one pass over the lengths. Ties go to the
-    smaller id. Scores are rounded to 6 digits before they are ordered.
-    """
-    terms = queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    own = docs.select(id_col, F.size(tokenize(text)).cast("bigint").alias("dl"), tokenize(text).alias("words"))
-    corpus = own.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = terms.select("term").distinct()
-    each = own.select(id_col, "dl", F.explode("words").alias("term")).join(wanted, "term", "left_semi")
-    tf = each.groupBy(id_col, "term", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+
+def _ranked(tf: DataFrame, df: DataFrame, corpus: DataFrame, terms: DataFrame, id_col: str, k: int) -> DataFrame:
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     known = terms.join(df, "term").crossJoin(F.broadcast(corpus))  # corpus is one row
@@ -46,6 +38,81 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, k: int)
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, k: int) -> DataFrame:
+    """(query_id, id, score, rank) of the k best for each query; queries (query_id, term), a repeated term counts again.
+
+    Only query terms' postings are kept; N and the mean length come from one pass over the lengths. Ties go to the
+    smaller id. Scores are rounded to 6 digits before they are ordered. For many searches, write_text_index() once.
+    """
+    terms = queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    words = docs.select(id_col, tokenize(text).alias("words"))
+    own = words.select(id_col, F.size("words").cast("bigint").alias("dl"), "words")
+    each = own.select(id_col, "dl", F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    tf = each.groupBy(id_col, "term", "dl").agg(F.count("*").alias("tf"))
+    return _ranked(tf, tf.groupBy("term").agg(F.count("*").alias("df")), _corpus(own), terms, id_col, k)
+
+
+#: Version of the index folders; others are refused.
+INDEX_VERSION = 1
+#: Folders of an index by a hash of the term.
+SHELVES = 64
+
+
+def write_text_index(docs: DataFrame, folder: str, id_col: str, text: Column) -> None:
+    """Postings, sorted by term within shelves of a hash of it, term statistics, corpus facts and version, in folder."""
+    index = postings(docs, id_col, text).withColumn("shelf", F.pmod(F.xxhash64("term"), F.lit(SHELVES)).cast("int"))
+    index.repartitionByRange("shelf", "term", id_col).sortWithinPartitions("shelf", "term", id_col).write.mode("overwrite").partitionBy("shelf").parquet(f"{folder}/postings")
+    done = docs.sparkSession.read.parquet(f"{folder}/postings")
+    done.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
+    facts = _corpus(docs.select(F.size(tokenize(text)).cast("bigint").alias("dl")))
+    facts.select("*", F.lit(INDEX_VERSION).alias("version"), F.lit(id_col).alias("id_col")).write.mode("overwrite").parquet(f"{folder}/corpus")
+
+
+def _checked(facts: DataFrame) -> DataFrame:
+    wrong = F.concat(F.lit("index version "), F.col("version").cast("string"), F.lit(f" is not {INDEX_VERSION}"))
+    return facts.where(F.when(F.col("version") == INDEX_VERSION, True).otherwise(F.raise_error(wrong).cast("boolean")))
+
+
+def bm25_indexed(folder: str, queries: DataFrame, k: int) -> DataFrame:
+    """bm25() from write_text_index(): reads only the shelves of the queries' terms and no text. The terms of the queries are bounded by the caller."""
+    spark = queries.sparkSession
+    facts = _checked(spark.read.parquet(f"{folder}/corpus"))
+    id_col = facts.first().id_col
+    terms = queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    wanted = sorted({r.term for r in terms.select("term").distinct().collect()})
+    shelves = [r.s for r in spark.createDataFrame([(w,) for w in wanted], "term string").select(F.pmod(F.xxhash64("term"), F.lit(SHELVES)).cast("int").alias("s")).distinct().collect()]
+    tf = spark.read.parquet(f"{folder}/postings").where(F.col("shelf").isin(shelves) & F.col("term").isin(wanted)).drop("shelf")
+    df = spark.read.parquet(f"{folder}/terms").where(F.col("term").isin(wanted)).select("term", "df")
+    return _ranked(tf, df, facts.select("n", "avgdl"), terms, id_col, k)
+
+
+def chunk_vectors(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """chunks (chunk_id, ...) with vector from embeddings (chunk_id, vector, ordinal): the last of a chunk; chunks without one are left out."""
+    last = embeddings.groupBy("chunk_id").agg(F.max_by("vector", "ordinal").alias("vector"))
+    return chunks.join(last, "chunk_id")
+
+
+def write_vector_index(chunks: DataFrame, embeddings: DataFrame, folder: str) -> None:
+    chunk_vectors(chunks, embeddings).withColumn("version", F.lit(INDEX_VERSION)).write.mode("overwrite").parquet(f"{folder}/vectors")
+
+
+def read_vector_index(spark, folder: str) -> DataFrame:
+    """Chunks and vectors of write_vector_index(); raises for another version. token_count is made anew from the content."""
+    from siltstone.functions.text import estimate_tokens
+
+    rows = _checked(spark.read.parquet(f"{folder}/vectors")).drop("version")
+    return rows.withColumn("token_count", estimate_tokens(F.col("content"))) if "content" in rows.columns else rows
+
+
+def build_indexes(chunks: DataFrame, folder: str) -> None:
+    """Text index and hashed bag-of-words vectors of chunks (chunk_id, heading, content), vectors over heading: content."""
+    told = F.when(F.coalesce("heading", F.lit("")) != "", F.concat_ws(": ", "heading", "content")).otherwise(F.col("content"))
+    write_text_index(chunks, folder, "chunk_id", F.col("content"))
+    vectors = bow_vectors(bow_counts(chunks.select("chunk_id", told.alias("t")), "chunk_id", F.col("t")), "chunk_id")
+    full = chunks.join(vectors, "chunk_id", "left").select("chunk_id", F.coalesce("vector", F.array_repeat(F.lit(0.0), 256)).alias("vector"), F.lit(0).alias("ordinal"))
+    write_vector_index(chunks, full, folder)
+
+
 def bow_counts(docs: DataFrame, id_col: str, text: Column, buckets: int = 256) -> DataFrame:
     """(id, bucket, n, weight): hashed bag of words, weight with unit length; texts without words have no row."""
     words = docs.select(id_col, F.explode(F.split(F.lower(text), "[^a-z0-9_]+")).alias("w")).where("w <> ''")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import naming_class
@@ -43,20 +43,22 @@ def orphaned(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def missing_types(symbols: DataFrame) -> DataFrame:
-    """One row for an exported function without a usable return type, and one more for each parameter of type any."""
+    """One row for an exported function without a usable return type, and one more, as function(parameter), for each of its parameters (name, type) of type any."""
     f = symbols.where((F.col("language") == "typescript") & F.col("exported") & (F.col("kind") == "function"))
-    no_return = (F.col("returns") == "any") | (F.col("returns").isNull() & ~F.coalesce("signature", F.lit("")).contains(":"))
+    no_return = (F.col("returns") == "any") | ((F.coalesce("returns", F.lit("")) == "") & ~F.coalesce("signature", F.lit("")).contains(":"))
     first = f.where(no_return).select("name", "ordinal")
-    params = f.select("name", "ordinal", F.explode("parameter_types").alias("p")).where("p = 'any'").select("name", "ordinal")
+    params = f.select("name", "ordinal", F.explode("parameters").alias("p")).where("p.type = 'any'").select(F.concat("name", F.lit("("), "p.name", F.lit(")")).alias("name"), "ordinal")
     return _finding(first.union(params), "missing-types", "name", 10)
 
 
-def inconsistent_naming(symbols: DataFrame, least: int = 5) -> DataFrame:
-    """Styles that are not the most frequent, have more than two names, where the most frequent has 60 to 95 percent."""
-    styled = symbols.where("exported").select(naming_class(F.col("name")).alias("style"), "ordinal").where("style is not null")
-    n = styled.groupBy("style").agg(F.count("*").alias("n"), F.min("ordinal").alias("ordinal"))
-    facts = n.agg(F.sum("n").alias("all"), F.max("n").alias("top"))
-    odd = n.crossJoin(F.broadcast(facts)).where((F.col("all") >= least) & (F.col("n") < F.col("top")) & (F.col("n") > 2) & (F.col("top") / F.col("all") > 0.6) & (F.col("top") / F.col("all") < 0.95))
+def inconsistent_naming(symbols: DataFrame, least: int = 5, dominant: float = 0.6) -> DataFrame:
+    """Styles that are not the most frequent and have more than two names, if there are least exports and the most frequent style has over dominant and under 95 percent of the styled ones."""
+    names = symbols.where("exported").select(naming_class(F.col("name")).alias("style"), "ordinal")
+    n = names.groupBy("style").agg(F.count("*").alias("n"), F.min("ordinal").alias("ordinal"))
+    styled = F.when(F.col("style").isNotNull(), F.col("n"))
+    facts = n.agg(F.sum("n").alias("exports"), F.sum(styled).alias("all"), F.max(styled).alias("top"), F.min(F.when(F.col("style").isNotNull(), F.struct(-F.col("n"), "ordinal", "style"))).alias("lead"))
+    ratio = F.col("top") / F.col("all")
+    odd = n.where("style is not null").crossJoin(F.broadcast(facts)).where((F.col("exports") >= least) & (F.col("style") != F.col("lead.style")) & (F.col("n") > 2) & (ratio > dominant) & (ratio < 0.95))
     return _finding(odd, "inconsistent-naming", "style", -1)
 
 
@@ -75,13 +77,3 @@ def all_rules(modules: DataFrame, symbols: DataFrame, nodes: DataFrame, edges: D
 
 def severity_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule").agg(F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_if(F.col("severity") == "info").alias("infos"))
-
-
-def relevance(path: Column, names: Column, topic: str) -> Column:
-    """Topic mode: the most of 0.8 for the path, 0.7 for any symbol's name, 0.5 for a readme that is about it."""
-    t = topic.lower()
-    return F.greatest(
-        F.when(F.lower(path).contains(t), 0.8).otherwise(0.0),
-        F.when(F.exists(names, lambda n: F.lower(n).contains(t)), 0.7).otherwise(0.0),
-        F.when(F.lower(path).contains("readme"), 0.5).otherwise(0.0),
-    )

@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed values.
 VERBS = ("get", "post", "put", "delete", "patch")
-#: Parameter names that say nothing to a user.
+#: Parameter names that say nothing to a user.
 GENERIC = ("options", "opts", "args", "config", "ctx", "context", "req", "res", "next")
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltstone.operators.folds import sorted_fold
+
 
 def tumbling_counts(events: DataFrame, ts: str, key: str, size: str, late: str) -> DataFrame:
     return events.withWatermark(ts, late).groupBy(F.window(ts, size), key).agg(F.count("*").alias("n"))
@@ -43,8 +46,55 @@ def rate_limited(events: DataFrame, key: str, seconds: int, most: int) -> DataFr
     if events.isStreaming:
         return events.select(key, "event_id", "t").groupBy(key).applyInPandasWithState(fold, schema, "recent array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "event_id"])
-        return rows.assign(accepted=accept(rows["t"].tolist(), [], seconds, most)[0])
+    def fresh():
+        recent: list[int] = []
+
+        def step(event_id, t):
+            nonlocal recent
+            ok, recent = accept([t], recent, seconds, most)
+            return [(event_id, t, ok[0])]
+
+        return step, lambda: []
+
+    return sorted_fold(events.select(key, "event_id", "t"), key, ["t", "event_id"], ["event_id", "t"], "event_id bigint, t bigint, accepted boolean", fresh)
+
+
+@dataclass
+class Dispatches:
+    """State of a dispatcher: last times by key, starts by visitor, and the global window."""
+
+    last: dict[str, float] = field(default_factory=dict)
+    visitors: dict[str, float] = field(default_factory=dict)
+    began: float = float("-inf")
+    n: int = 0
+
+    def take(self, t: float, key: str, visitor: str | None, *, cooldown: float = 60, window: float = 60, most: int = 5, keep: float = 86_400) -> bool:
+        """Whether an event at t is let through: one for each visitor, one a cooldown for each key, most a window, which starts with the first event after the last one's end.
+
+        Only what is let through is noted. Visitors are forgotten after keep seconds, keys after ten cooldowns: state is bounded by what passes in that time.
+        """
+        if visitor is not None and visitor in self.visitors and t - self.visitors[visitor] <= keep:
+            return False
+        if t - self.last.get(key, float("-inf")) < cooldown:
+            return False
+        if t - self.began > window:
+            self.began, self.n = t, 0
+        if self.n >= most:
+            return False
+        self.last[key], self.n = t, self.n + 1
+        if visitor is not None:
+            self.visitors[visitor] = t
+        self.last = {k: x for k, x in self.last.items() if t - x <= 10 * cooldown}
+        self.visitors = {k: x for k, x in self.visitors.items() if t - x <= keep}
+        return True
+
+
+def dispatched(events: DataFrame, service: str, **limits: float) -> DataFrame:
+    """(service, event_id, accepted) of events (service, event_id, t in seconds, key, visitor): each service's in order of time, through Dispatches."""
+
+    def fresh():
+        state = Dispatches()
+        return lambda event_id, t, key, visitor: [(event_id, state.take(t, key, visitor, **limits))], lambda: []
 
-    return events.select(key, "event_id", "t").groupBy(key).applyInPandas(whole, schema)
+    own = events.select(service, "event_id", F.col("t").cast("double").alias("t"), F.col("key").cast("string").alias("key"), F.col("visitor").cast("string").alias("visitor"))
+    return sorted_fold(own, service, ["t", "event_id"], ["event_id", "t", "key", "visitor"], "event_id bigint, accepted boolean", fresh)

@@ -1,9 +1,10 @@
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import folds, graph, maintain, parsers, resolve, rules, validate
+from siltstone.operators import folds, graph, maintain, resolve, rules, validate
 from siltstone.sources import corpus
 from siltstone.streaming import limits
 
@@ -18,32 +19,6 @@ def test_scan_of_a_tree(spark, tmp_path):
     assert got["src/a.ts"].language == "typescript" and got["src/a.ts"].line_count == 2 and got["src/Dockerfile"].language == "dockerfile" and got["src/bad.md"].text == "# T�"
 
 
-def test_parsers(spark):
-    src = {
-        "python": "'''M.'''\n__all__ = ['f']\nLIMIT = 3\ndef f(a):\n    '''Says f.\n    More.'''\ndef g(): pass\nclass K: pass\n",
-        "typescript": "export async function f() {}\nexport default class K {}\nconst g = (x: number) => x\nexport interface I {}\nexport type U = 1\n",
-        "go": "func Run() {}\nfunc (s *S) stop() {}\ntype S struct {\n",
-        "rust": "pub fn f() {}\nstruct S;\npub(crate) trait Q {}\n",
-        "sql": "CREATE OR REPLACE VIEW a.v AS\ncreate table if not exists \"t\" (\nCREATE UNIQUE INDEX i\n",
-        "markdown": "# A *b*\ntext\n### [c](d)\n",
-        "hcl": 'resource "aws_x" "main" {\n',
-        "shell": "function a {\nb() {\nexport C=1\n",
-        "yaml": "name: x\n  no: y\non:\n",
-        "ruby": "class A\n def x\n def y\n private :y\n",
-    }
-    df = spark.createDataFrame([(f"f.{k}", k, v) for k, v in src.items()] + [("bad.py", "python", "def ("), ("n.py", "python", None), ("x.zig", "zig", "fn")], "path string, language string, text string")
-    got = {}
-    for r in parsers.symbols(df).orderBy("path", "sym_ordinal").collect():
-        got.setdefault(r.path[2:], []).append((r.name, r.kind, r.exported))
-    assert got["python"] == [("LIMIT", "constant", False), ("f", "function", True), ("g", "function", False), ("K", "class", False)]
-    assert got["typescript"] == [("f", "function", True), ("K", "class", True), ("g", "function", False), ("I", "interface", True), ("U", "type", True)]
-    assert got["go"] == [("Run", "function", True), ("stop", "method", False), ("S", "class", True)]
-    assert got["rust"] == [("f", "function", True), ("S", "class", False), ("Q", "interface", True)]
-    assert [n for n, *_ in got["sql"]] == ["a.v", "t"] and [n for n, *_ in got["markdown"]] == ["A b", "c"] and got["hcl"][0][0] == "resource.aws_x.main"
-    assert [n for n, *_ in got["shell"]] == ["a", "b", "C"] and [n for n, *_ in got["yaml"]] == ["name", "on"] and got["ruby"][2] == ("y", "method", False)
-    assert set(got) == set(src)
-
-
 def test_limiter_batch_and_stream_agree(spark, tmp_path):
     rows = [(1, i, 10 * i) for i in range(20)] + [(2, 100, 5), (2, 101, 5)]
     df = spark.createDataFrame(rows, "user_id bigint, event_id bigint, t bigint")
@@ -120,12 +95,12 @@ def test_functions(spark):
     assert get(T.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
     assert [get(T.naming_class(F.lit(x))) for x in ("fooBar", "FooBar", "foo_bar", "x-y")] == ["camelCase", "PascalCase", "snake_case", None]
     assert get(corpus.language(F.lit("a.b/file"))) is None and get(corpus.language(F.lit("a/X.PY"))) == "python"
-    assert get(validate.batch_response(F.lit('```json\n{"a": "b"}\n```'))) == {"a": "b"}
+    assert get(validate.batch_response(F.lit('```json\n{"a": "b"}\n```'))) == Row(module="", symbols={"a": "b"}) and get(validate.batch_response(F.lit("prose"))) == Row(module="prose", symbols={})
 
 
 def test_rules(spark):
-    s = spark.createDataFrame([("f", "function", "typescript", True, "any", "f()", ["any", "string"], None, None, 0), ("g", "function", "typescript", True, None, "g(): x", [], "doc", None, 1)], "name string, kind string, language string, exported boolean, returns string, signature string, parameter_types array<string>, doc_summary string, ai_summary string, ordinal int")
-    assert [r.subject for r in rules.undocumented(s).collect()] == ["f"] and rules.missing_types(s).count() == 2
+    s = spark.createDataFrame([("f", "function", "typescript", True, "any", "f()", [("a", "any"), ("b", "string")], None, None, 0), ("g", "function", "typescript", True, None, "g(): x", [], "doc", None, 1)], "name string, kind string, language string, exported boolean, returns string, signature string, parameters array<struct<name:string,type:string>>, doc_summary string, ai_summary string, ordinal int")
+    assert [r.subject for r in rules.undocumented(s).collect()] == ["f"] and {r.subject for r in rules.missing_types(s).collect()} == {"f", "f(a)"}
     m = spark.createDataFrame([("a/b/c/d/e/f.ts", 501, 0, 0), ("config/x.ts", 900, 0, 1), ("y.ts", 500, 31, 2)], "path string, line_count int, n_symbols int, ordinal int")
     assert sorted(r.subject for r in rules.oversized(m).collect()) == ["a/b/c/d/e/f.ts", "y.ts"] and rules.deep_nesting(m).count() == 1
 
