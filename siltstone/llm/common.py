@@ -55,6 +55,21 @@ def without(docs: DataFrame, key: tuple[Column, Column], gone: DataFrame) -> Dat
     return matched(docs.select(F.struct("*").alias("row"), *key), gone, ["k1", "k2"], "left_anti").select("row.*")
 
 
+def kept_once(docs: DataFrame, key: tuple[Column, Column], judged: DataFrame) -> DataFrame:
+    """docs, with all columns, without the rows whose key is in judged (k1, k2, first), a checkpoint, and not first there; of rows of one key that is, any one stays."""
+    met = matched(docs.select(F.struct("*").alias("row"), *key), judged, ["k1", "k2"], "left")
+    kept = met.where("first is null").select("row.*")
+    if judged.where("first").isEmpty():
+        return kept
+    return kept.unionByName(met.where("first").dropDuplicates(["k1", "k2"]).select("row.*"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row even where body uses it in a lambda."""
     return F.transform(F.array(value), body)[0]

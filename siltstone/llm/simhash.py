@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut
+from siltstone.llm.common import cut, id_and_text, kept_once, row_key
 from siltstone.llm.components import components
 
 #: Generator polynomial of the [23, 12, 7] code.
@@ -238,19 +238,20 @@ def linked(fps: DataFrame, bits: int, *, small: int = SMALL_RUN, block: int = BL
 
 
 def fingerprints(docs: DataFrame, *, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(rid, doc_id, fp): a row for each row of docs; rid is its place in the scan."""
+    """(rid, k1, k2, doc_id, fp): a row for each row of docs; rid is its place in this scan, k1 and k2 name its id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.asarray([fingerprint(t.as_py(), shingle) for t in batch.column(2)], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["rid", "doc_id", "fp"])
+            fps = np.asarray([fingerprint(t.as_py(), shingle) for t in batch.column(4)], dtype="<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(fps)], names=["rid", "k1", "k2", "doc_id", "fp"])
 
-    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "rid bigint, doc_id bigint, fp bigint")
+    own, text = id_and_text(id_col, text_col)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), *row_key(own, text), own.alias("doc_id"), text.alias("text"))
+    return rows.mapInArrow(run, "rid bigint, k1 bigint, k2 bigint, doc_id bigint, fp bigint")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, fingerprint, component_id, first): one row for each row of docs.
+    """(k1, k2, doc_id, fingerprint, component_id, first): one row for each row of docs; k1 and k2 name its id and text.
 
     Rows whose fingerprints differ in at most bits bits are linked. component_id is the smallest doc_id that links
     reach, itself included; null where all of these are null. first: exactly one row of each component has it, with the
@@ -268,11 +269,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, bits: int = 4, id_col:
     lowest = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("low"))
     keep = nodes.join(lowest, "fp").groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.rid").alias("rid"), F.lit(True).alias("first"))
     fp_hex = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return out.join(keep, "rid", "left").select("rid", "doc_id", fp_hex.alias("fingerprint"), "component_id", F.coalesce("first", F.lit(False)).alias("first"))
+    return out.join(keep, "rid", "left").select("k1", "k2", "doc_id", fp_hex.alias("fingerprint"), "component_id", F.coalesce("first", F.lit(False)).alias("first"))
 
 
 def deduplicated(docs: DataFrame, *, shingle: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that near_duplicates() does not call first, with all its columns. docs must be a stable scan."""
-    keep = near_duplicates(docs, shingle=shingle, bits=bits, id_col=id_col, text_col=text_col).where("first").select(F.col("rid").alias("__rid"))
-    rows = docs.select(F.monotonically_increasing_id().alias("__rid"), F.struct("*").alias("__row"))
-    return rows.join(keep, "__rid", "left_semi").select("__row.*")
+    """docs without the rows that near_duplicates() does not call first, with all its columns. Of rows with equal id and text any one may stay."""
+    found = near_duplicates(docs, shingle=shingle, bits=bits, id_col=id_col, text_col=text_col)
+    judged = cut(found.groupBy("k1", "k2").agg(F.bool_or("first").alias("first"), F.count("*").alias("n")).where("not first or n > 1").select("k1", "k2", "first"))
+    return kept_once(docs, row_key(*id_and_text(id_col, text_col)), judged)

@@ -52,7 +52,7 @@ def test_copied_and_live(spark):
 
 
 def test_opaque_repeats_no_base_span_and_other_kinds_turn_on_ownership(spark):
-    hexes, login = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "postgres://app:Zx81q7Lp@db.example.com/x"
+    hexes, login = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "postgres://app:Zx81q7LpW3@db.example.com/x"
     rows = [(1, f"token={hexes} and {login}", "en", "s1"), *((10 + i, "Bearer aB3dE5fG7hJ9kL1mN2 ok", "en", f"s{i}") for i in range(3)), (20, "bearer qW4rT6yU8iO1pA3sD5", "en", "s9")]
     got = {r.doc_id: r for r in S.digest(S.scan(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))).collect()}
     assert got[1].spans == "assign:0:46,hex:6:46,login:51:77" and "opaque" not in got[1].live
