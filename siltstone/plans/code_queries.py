@@ -323,7 +323,7 @@ def command_signals(spark, d):
 
 
 @query(f"WITH {cte('symbols')}, s AS (SELECT * FROM symbols WHERE regexp_matches(lower(path), 'config|schema|settings')), p AS (SELECT path, id AS parent_id, name AS parent FROM s WHERE exported AND kind IN ('interface', 'type', 'constant')) " + _SIGNAL.format("option", "parent || '.' || name", "type_annotation", "summary", "s JOIN p USING (path, parent_id) WHERE coalesce(type_annotation, '') <> '' OR coalesce(summary, '') <> ''"))
-def option_signals(spark, d):
+def setting_signals(spark, d):
     return signals.config_options(_signal_rows(spark, d))
 
 
