@@ -2,7 +2,7 @@
 
 import pytest
 
-from siltstone.llm import importance, langid, licenses, packing, pieces, rules, secrets, similar, simhash, urls, weighted
+from siltstone.llm import bytepairs, importance, langid, licenses, packing, periodic, pieces, rules, secrets, similar, simhash, target, urls, weighted
 
 NAMES = "k1 k2 row first n id label good g key log_weight fold lang_pred spans live base rid h wide node root bits codes bucket pos ghost piece sequence_id __id __lang __gumbel __o __rid __row __note fp held_out score rule host trust gram kept copied q".split()
 LONG = " ".join(f"word{i} la le lu" for i in range(80_000))  # over 1 MB
@@ -35,6 +35,9 @@ OPERATORS = {
     "op8": lambda d, _: weighted.fingerprints(d),
     "op9": lambda d, _: rules.judge(d),
     "op10": lambda d, _: packing.pack(d),
+    "op11": lambda d, _: target.resample(d, d),
+    "op12": lambda d, _: bytepairs.digest(bytepairs.decode(bytepairs.encode(d))),
+    "op13": lambda d, _: periodic.digest(periodic.periodic_runs(periodic.with_repeats(d))),
     "dedup": lambda d, _: similar.groups(d),
 }
 STAGES = {"quality classifier": importance.selected, "quality rules": lambda d, _: rules.kept(d), "near-dedup": lambda d, _: similar.deduplicated(d), "secret scans": lambda d, _: secrets.redacted(d)}
