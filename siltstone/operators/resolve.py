@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What is tried after an import's path, and within a package after its folder.
@@ -74,16 +74,23 @@ def external_sources(imports: DataFrame, edges: DataFrame) -> DataFrame:
     return imports.join(edges.select("src", F.col("ordinal").alias("import_ordinal")), ["src", "import_ordinal"], "left_anti")
 
 
+#: Kinds of symbols that types name.
+TYPE_KINDS = ("interface", "type", "class", "enum")
+
+
+def documented_at(path: str) -> Column:
+    """The page of a file's symbols."""
+    return F.concat(F.lit("api/"), F.regexp_replace(path, r"\.[^.]+$", ""), F.lit(".md"))
+
+
 def symbol_pages(symbols: DataFrame) -> DataFrame:
     """(name, page): where a name is documented: the first exported symbol of it, else the first one; symbols (path, name, exported, ordinal)."""
-    page = F.concat(F.lit("api/"), F.regexp_replace("path", r"\.[^.]+$", ""), F.lit(".md"))
-    return symbols.groupBy("name").agg(F.min_by(page, F.struct(~F.col("exported"), "ordinal")).alias("page"))
+    return symbols.groupBy("name").agg(F.min_by(documented_at("path"), F.struct(~F.col("exported"), "ordinal")).alias("page"))
 
 
 def type_pages(symbols: DataFrame) -> DataFrame:
     """(name, page) of exported interfaces, types, classes and enums: the last one of a name wins."""
-    page = F.concat(F.lit("api/"), F.regexp_replace("path", r"\.[^.]+$", ""), F.lit(".md"))
-    return symbols.where(F.col("exported") & F.col("kind").isin("interface", "type", "class", "enum")).groupBy("name").agg(F.max_by(page, "ordinal").alias("page"))
+    return symbols.where(F.col("exported") & F.col("kind").isin(*TYPE_KINDS)).groupBy("name").agg(F.max_by(documented_at("path"), "ordinal").alias("page"))
 
 
 #: A citation in a text: a name, which may hold spaces and colons, and a line.
