@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import batching, folds, graph, maintain, modules, resolve, retrieval, rules, signals, validate
-from siltstone.plans import code_queries, link_queries
+from siltstone.plans import code_queries, limit_queries, link_queries
 from siltstone.registry import ORACLES, QUERIES, query, read
 
-__all__ = ["ORACLES", "QUERIES", "code_queries", "link_queries"]
+__all__ = ["ORACLES", "QUERIES", "code_queries", "limit_queries", "link_queries"]
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)

@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Materialised in the shared folder of spark.checkpoint.dir, with its lineage cut. Only a session on one machine may be without one."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltstone-"))
-    return df.checkpoint(eager=True)
+from siltstone.operators.shared import cut as _cut
 
 
 def degrees(edges: DataFrame) -> DataFrame:

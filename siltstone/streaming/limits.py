@@ -59,42 +59,60 @@ def rate_limited(events: DataFrame, key: str, seconds: int, most: int) -> DataFr
     return sorted_fold(events.select(key, "event_id", "t"), key, ["t", "event_id"], ["event_id", "t"], "event_id bigint, t bigint, accepted boolean", fresh)
 
 
+@dataclass(frozen=True)
+class Rules:
+    """Of a dispatcher: one event a cooldown (seconds) for each key, most a window, one for each visitor in keep."""
+
+    cooldown: float = 60
+    window: float = 60
+    most: int = 5
+    keep: float = 86_400
+
+    def passes(self, t: float, last: float | None, visited: float | None, began: float, n: int) -> tuple[bool, float, int]:
+        """Whether an event at t is let through whose key did at last and whose visitor at visited, and the global window's start and count after it.
+
+        A window starts with the first event after the last one's end that the other rules let through.
+        """
+        if (visited is not None and t - visited <= self.keep) or (last is not None and t - last < self.cooldown):
+            return False, began, n
+        if t - began > self.window:
+            began, n = t, 0
+        return n < self.most, began, n + (n < self.most)
+
+
 @dataclass
 class Dispatches:
-    """State of a dispatcher: last times by key, starts by visitor, and the global window."""
+    """State of a dispatcher: last times by key and by visitor, oldest first, and the global window."""
 
     last: dict[str, float] = field(default_factory=dict)
     visitors: dict[str, float] = field(default_factory=dict)
     began: float = float("-inf")
     n: int = 0
 
-    def take(self, t: float, key: str, visitor: str | None, *, cooldown: float = 60, window: float = 60, most: int = 5, keep: float = 86_400) -> bool:
-        """Whether an event at t is let through: one for each visitor, one a cooldown for each key, most a window, which starts with the first event after the last one's end.
+    def take(self, t: float, key: str, visitor: str | None, rules: Rules = Rules()) -> bool:  # noqa: B008
+        """Whether an event at t, no earlier than any before, is let through.
 
-        Only what is let through is noted. Visitors are forgotten after keep seconds, keys after ten cooldowns: state is bounded by what passes in that time.
+        Only what is let through is noted; a null key has no cooldown, a null visitor is nobody's. What no rule asks for any more is forgotten from the old end: state is bounded by what
+        passes in that time, and each event forgets what it must and no more.
         """
-        if visitor is not None and visitor in self.visitors and t - self.visitors[visitor] <= keep:
-            return False
-        if t - self.last.get(key, float("-inf")) < cooldown:
-            return False
-        if t - self.began > window:
-            self.began, self.n = t, 0
-        if self.n >= most:
-            return False
-        self.last[key], self.n = t, self.n + 1
-        if visitor is not None:
-            self.visitors[visitor] = t
-        self.last = {k: x for k, x in self.last.items() if t - x <= 10 * cooldown}
-        self.visitors = {k: x for k, x in self.visitors.items() if t - x <= keep}
-        return True
+        ok, self.began, self.n = rules.passes(t, self.last.get(key), self.visitors.get(visitor) if visitor is not None else None, self.began, self.n)
+        if ok:
+            for known, name, least in ((self.last, key, rules.cooldown), (self.visitors, visitor, rules.keep)):
+                if name is not None:
+                    known.pop(name, None)
+                    known[name] = t
+                while known and t - known[first := next(iter(known))] > least:
+                    del known[first]
+        return ok
 
 
 def dispatched(events: DataFrame, service: str, **limits: float) -> DataFrame:
     """(service, event_id, accepted) of events (service, event_id, t in seconds, key, visitor): each service's in order of time, through Dispatches."""
+    rules = Rules(**limits)
 
     def fresh():
         state = Dispatches()
-        return lambda event_id, t, key, visitor: [(event_id, state.take(t, key, visitor, **limits))], lambda: []
+        return lambda event_id, t, key, visitor: [(event_id, state.take(t, key, visitor, rules))], lambda: []
 
     own = events.select(service, "event_id", F.col("t").cast("double").alias("t"), F.col("key").cast("string").alias("key"), F.col("visitor").cast("string").alias("visitor"))
     return sorted_fold(own, service, ["t", "event_id"], ["event_id", "t", "key", "visitor"], "event_id bigint, accepted boolean", fresh)
