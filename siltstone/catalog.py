@@ -166,6 +166,18 @@ def cycle_members(spark, d):
     return graph.cycle_members(part_graph(spark, d))
 
 
+@query(f"""WITH RECURSIVE {_EDGES}, g AS (SELECT DISTINCT src, dst FROM e), r(start, node) AS (SELECT src, dst FROM g UNION SELECT start, dst FROM r JOIN g ON src = node),
+    c AS (SELECT a.start AS node, min(a.node) AS root FROM r a JOIN r b ON a.node = b.start AND b.node = a.start GROUP BY 1), t AS (SELECT DISTINCT root FROM c ORDER BY root LIMIT 10),
+    b(root, node, depth) AS (SELECT root, root, 0 FROM t UNION SELECT b.root, g.dst, depth + 1 FROM b JOIN g ON g.src = b.node JOIN c ON c.node = g.dst AND c.root = b.root WHERE depth < 300),
+    f AS (SELECT root, node, min(depth) AS depth FROM b GROUP BY ALL), l AS (SELECT root, min(depth) AS length FROM b WHERE node = root AND depth > 0 GROUP BY root),
+    p AS (SELECT f.root, f.node, min(h.node) AS parent FROM f JOIN g ON g.dst = f.node JOIN f h ON h.root = f.root AND h.node = g.src AND h.depth = f.depth - 1 GROUP BY ALL),
+    w(root, node, place) AS (SELECT l.root, min(f.node), any_value(length) - 1 FROM l JOIN f ON f.root = l.root AND f.depth = l.length - 1 JOIN g ON g.src = f.node AND g.dst = l.root GROUP BY l.root
+      UNION ALL SELECT w.root, p.parent, place - 1 FROM w JOIN p ON p.root = w.root AND p.node = w.node)
+    SELECT root AS cycle, place::BIGINT AS place, node FROM w""")
+def cycle_paths(spark, d):
+    return graph.shortest_cycles(part_graph(spark, d))
+
+
 @query(f"""WITH {_EDGES}, {_SEED}, a AS (SELECT dst AS n FROM e JOIN s ON src = node), b AS (SELECT src AS n FROM e JOIN s ON dst = node),
     x AS (SELECT n, 1.0::DOUBLE AS score FROM a UNION ALL SELECT n, 1.0 FROM b UNION ALL SELECT dst, 0.6 FROM e WHERE src IN (SELECT n FROM a) UNION ALL SELECT src, 0.6 FROM e WHERE dst IN (SELECT n FROM b))
     SELECT n AS node, max(score) AS score FROM x WHERE n NOT IN (SELECT node FROM s) GROUP BY n""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.shared import Rounds
 from siltstone.operators.shared import cut as _cut
 
 
@@ -44,61 +45,114 @@ def impact(edges: DataFrame, seeds: DataFrame, steps: int = 4) -> DataFrame:
             return seen.where("depth > 0")
 
 
-def _trimmed(e: DataFrame) -> DataFrame:
-    """e (src, dst, ...) without nodes that have no way in or no way out, again and again until none is left to take."""
-    n = -1
-    while (now := e.count()) != n:
-        n = now
-        e = _cut(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-    return e
+#: Hashes by which a turn tells nodes apart: the more there are, the fewer turns.
+_COLORS = 4
 
 
-def _reached(e: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node, color): seeds (node, color) and all that they reach along edges (src, dst, color), whose colors hold for both ends."""
-    e = _cut(e.select("src", "dst"))
-    frontier = seen = _cut(seeds)
-    while True:
-        frontier = _cut(frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "color").distinct().join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier)
+def _colors(e: DataFrame, turn: int) -> DataFrame:
+    """(node, f, b): for each node the least of all that reach it along edges (src, dst), and the least of all that it reaches, itself included, by each of a turn's hashes.
 
-
-def _colors(e: DataFrame) -> DataFrame:
-    """(node, color): the smallest node that reaches a node, itself included."""
-    c = _cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("color", F.col("node")))
-    changed = c
+    Each round a node hears from those before it (after it), and from one that lies twice as far as the round before: a stretch
+    without branches is passed in a logarithm of its length, others in as many rounds as they have steps at most.
+    """
+    ways = Rounds(e.sparkSession, "ways").put(e.select(F.lit(0).alias("way"), F.col("src").alias("via"), F.col("dst").alias("node")).union(e.select(F.lit(1), "dst", "src")))
+    rounds, names = Rounds(e.sparkSession, "colors"), [f"c{i}" for i in range(_COLORS)]
+    own = [F.struct(F.xxhash64("node", F.lit(turn * _COLORS + i)).alias("h"), F.col("node").alias("n")).alias(c) for i, c in enumerate(names)]
+    ends = ways.select("way", F.col("via").alias("node")).distinct().join(ways.groupBy("way", "node").agg(F.min("via").alias("far")), ["way", "node"], "full")
+    c = rounds.put(ends.select("way", "node", F.coalesce("far", "node").alias("far"), *own))
     while True:
-        least = changed.join(e, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("color").alias("least"))
-        new = c.join(least, F.col("node") == F.col("dst"), "left").select("node", F.least("color", "least").alias("color"), (F.col("least") < F.col("color")).alias("new"))
-        new = _cut(new)
-        c, changed = new.select("node", "color"), new.where("new").select("node", "color")
-        if changed.isEmpty():
-            return c
+        asks = ways.select("way", "via", "node", F.lit(False).alias("jump")).union(c.select("way", F.col("far").alias("via"), "node", F.lit(True)))
+        told = asks.join(c.withColumnRenamed("node", "via"), ["way", "via"])
+        heard = told.select("way", "node", F.when(F.col("jump"), F.col("far")).alias("far"), F.lit(False).alias("own"), *names)
+        heard = heard.union(c.select("way", "node", F.lit(None).cast(c.schema["far"].dataType), F.lit(True), *names))
+        least = [F.min(x).alias(x) for x in names]
+        before = F.max(F.when(F.col("own"), F.struct(*names))).alias("before")
+        new = rounds.put(heard.groupBy("way", "node").agg(F.max("far").alias("far"), *least, before))
+        c = new.drop("before")
+        if new.where(F.struct(*names) != F.col("before")).isEmpty():
+            both = lambda way: F.max(F.when(F.col("way") == way, F.array(*names)))
+            return c.groupBy("node").agg(both(0).alias("f"), both(1).alias("b"))
+
+
+def cycle_components(edges: DataFrame) -> DataFrame:
+    """(node, root): nodes that reach themselves, with the least node of their strongly connected component, whatever the order of rows.
+
+    Nodes of a component have the least of all before them in common, and the least of all after them. Where both are the same node, it
+    is in the component, which is thereby found; edges between nodes that differ in either lie on no cycle, and the rest goes through another turn.
+    """
+    turns, parts = Rounds(edges.sparkSession, "turn"), Rounds(edges.sparkSession, "found")
+    whole = _cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    e, found, turn = whole.where("src <> dst"), whole.select(F.col("src").alias("node"), F.col("src").alias("group")).limit(0), 0
+    while not e.isEmpty():
+        c = _colors(e, turn)
+        of = lambda end: c.select(F.col("node").alias(end), F.struct("f", "b").alias(f"{end}_c"))  # noqa: E731, B023
+        met = F.filter(F.zip_with("src_c.f", "src_c.b", lambda f, b: F.when(f == b, f["n"])), lambda n: n.isNotNull())
+        same = turns.put(e.join(of("src"), "src").join(of("dst"), "dst").where("src_c = dst_c").select("src", "dst", F.get(met, F.lit(0)).alias("group")))
+        found = parts.put(found.union(same.where("group is not null").select(F.explode(F.array("src", "dst")).alias("node"), "group").distinct()))
+        e, turn = same.where("group is null").select("src", "dst"), turn + 1
+    loops = whole.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("root"))
+    least = found.groupBy("group").agg(F.min("node").alias("root"))
+    return found.join(least, "group").select("node", "root").union(loops.join(found, "node", "left_anti"))
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
-    """(node): nodes that reach themselves, whatever the order of rows.
+    """(node): nodes that reach themselves."""
+    return cycle_components(edges).select("node")
+
 
-    Nodes without a way in or out are taken away. Every node gets the smallest node that reaches it as its color; what
-    reaches that node within the color is its strongly connected component, which is on cycles if it has an edge within.
-    Components are taken away with their edges, and so are edges between colors, until no edge is left.
+def _places_on_rings(e: DataFrame) -> DataFrame:
+    """(root, node, place): steps from root to each node of rings (root, src, dst), by pointers that reach twice as far each round."""
+    rounds = Rounds(e.sparkSession, "ring")
+    c = rounds.put(e.select("root", F.col("dst").alias("node"), F.when(F.col("dst") == F.col("root"), F.col("root")).otherwise(F.col("src")).alias("far"), (F.col("dst") != F.col("root")).cast("bigint").alias("place")))
+    while not c.where("far <> root").isEmpty():
+        ahead = c.select("root", F.col("node").alias("far"), F.col("far").alias("farther"), F.col("place").alias("more"))
+        c = rounds.put(c.join(ahead, ["root", "far"]).select("root", "node", F.col("farther").alias("far"), (F.col("place") + F.col("more")).alias("place")))
+    return c.select("root", "node", "place")
+
+
+def _places_by_steps(e: DataFrame, steps: int) -> DataFrame:
+    """(root, node, place) of a shortest cycle through each root of edges (root, src, dst): of equally near nodes before one, the least leads to it.
+
+    So many steps a job from the root, until one leads back to it; then the cycle's nodes are told from the tree of steps by pointers that reach twice as far each round.
     """
-    e, out = _trimmed(_cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())), None
-    empty = e.select(F.col("src").alias("node")).limit(0)
-    while not e.isEmpty():
-        c = _colors(e)
-        of_src, of_dst = c.toDF("src", "color"), c.toDF("dst", "color2")
-        own = _cut(e.join(of_src, "src").join(of_dst, "dst").where("color = color2").select("src", "dst", "color"))
-        back = own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "color")
-        found = _cut(_reached(back, c.where("node = color")))
-        ends = found.select("node")
-        within = own.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
-        members = _cut(within.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-        out = members if out is None else out.union(members)
-        left = own.join(ends.withColumnRenamed("node", "src"), "src", "left_anti").join(ends.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        e = _trimmed(_cut(left.select("src", "dst")))
-    return empty if out is None else out
+    kind = e.schema["src"].dataType
+    steps_kept, ends_kept, fronts, on_kept, far_kept = (Rounds(e.sparkSession, x) for x in ("steps", "ends", "fronts", "on", "far"))
+    seen, depth = steps_kept.put(e.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("place"), F.lit(None).cast(kind).alias("parent"))), 0
+    frontier, closed = seen.select("root", "node"), seen.select("root", F.col("parent").alias("last"), F.col("place").alias("length")).limit(0)
+    while not frontier.isEmpty():
+        found, ends, now = seen, closed, frontier
+        for _ in range(steps):
+            depth += 1
+            met = now.join(e.withColumnRenamed("src", "node"), ["root", "node"]).groupBy("root", "dst").agg(F.min("node").alias("parent"))
+            ends = ends.union(met.where("dst = root").select("root", F.col("parent").alias("last"), F.lit(depth).cast("bigint")))
+            new = met.where("dst <> root").select("root", F.col("dst").alias("node"), F.lit(depth).cast("bigint").alias("place"), "parent").join(seen, ["root", "node"], "left_anti")
+            found, now = found.union(new), new.select("root", "node")
+        best = F.min(F.struct("place", "parent"))
+        closed = ends_kept.put(ends.groupBy("root").agg(F.min(F.struct("length", "last")).alias("c")).select("root", "c.last", "c.length"))
+        seen = steps_kept.put(found.groupBy("root", "node").agg(best.alias("b")).select("root", "node", "b.place", "b.parent"))
+        frontier = fronts.put(seen.where(F.col("place") == depth).select("root", "node").join(closed, "root", "left_anti"))
+    on = closed.select("root", F.col("last").alias("node"))
+    far, reach, most = seen.where("parent is not null").select("root", "node", F.col("parent").alias("far")), 1, closed.agg(F.max("length")).first()[0] or 0
+    while reach < most:
+        on = on_kept.put(on.union(on.join(far, ["root", "node"]).select("root", F.col("far").alias("node"))).distinct())
+        ahead = far.select("root", F.col("node").alias("far"), F.col("far").alias("farther"))
+        far, reach = far_kept.put(far.join(ahead, ["root", "far"]).select("root", "node", F.col("farther").alias("far"))), 2 * reach
+    return on.join(seen, ["root", "node"]).select("root", "node", "place")
+
+
+def shortest_cycles(edges: DataFrame, most: int = 10, steps: int = 3) -> DataFrame:
+    """(cycle, place, node): a shortest cycle through the least node (cycle) of each of the first most components by that node, from it (place 0) along edges.
+
+    Components that are rings need no search; the others are searched side by side, no further than their cycles are long.
+    """
+    parts = _cut(cycle_components(edges))
+    roots = parts.select("root").distinct().orderBy("root").limit(most)
+    own = _cut(parts.join(F.broadcast(roots), "root"))  # at most `most` roots
+    src, dst = own.select(F.col("node").alias("src"), "root"), own.select(F.col("node").alias("dst"), F.col("root").alias("root2"))
+    e = _cut(edges.select("src", "dst").distinct().join(src, "src").join(dst, "dst").where("root = root2").select("root", "src", "dst"))
+    rings = e.groupBy("root").agg(F.count("*").alias("n")).join(own.groupBy("root").agg(F.count("*").alias("m")), "root").where("n = m").select("root")
+    ring, other = e.join(rings, "root", "left_semi"), e.join(rings, "root", "left_anti")
+    return _places_on_rings(ring).union(_places_by_steps(_cut(other), steps).select("root", "node", "place")).select(F.col("root").alias("cycle"), "place", "node")
 
 
 def neighbour_scores(edges: DataFrame, target: DataFrame) -> DataFrame:

@@ -35,3 +35,21 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Rounds:
+    """A table that each round of a loop writes anew in the shared folder; the one before is deleted once the next is there.
+
+    What is read back is a plain scan: a checkpoint keeps all that the optimizer knew of the rows, and over many rounds that grows without end.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path = spark, name, ""
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path, before = new_folder(self.spark, self.name), self.path
+        df.write.parquet(path)
+        self.path = path
+        if before:
+            remove(self.spark, before)
+        return self.spark.read.schema(df.schema).parquet(path)
