@@ -18,6 +18,10 @@ N_BUCKETS = 1 << 15
 MAX_LANGS = 64
 #: Most labelled rows that the target model is fitted on.
 MAX_LABELLED = 20_000
+#: Texts are dealt to so many folds by their hash; a fold's target model knows nothing of that fold's texts, so no labelled text or copy of it weighs itself.
+FOLDS = 4
+#: Trigrams of a text overlap and repeat, so a longer text's count as so many independent ones: log weights then lie within some units of a Gumbel variate.
+INDEPENDENT = 100
 
 
 def buckets(grams: np.ndarray) -> np.ndarray:
@@ -29,18 +33,19 @@ def _langs(column: pa.Array, known: dict[str, int]) -> np.ndarray:
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(id, text, lang): nothing else of docs is read, and no other name can clash."""
+    """(id, text, lang, fold): nothing else of docs is read, and no other name can clash."""
     own, text = id_and_text(id_col, text_col)
-    return docs.select(own.alias("id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    fold = F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS)).cast("int")
+    return docs.select(own.alias("id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"), fold.alias("fold"))
 
 
 def gram_counts(docs: DataFrame, known: dict[str, int]) -> np.ndarray:
-    """(languages + 1, N_BUCKETS) counts of hashed trigrams over all of docs (text, lang); one dense table a task, summed in Spark."""
+    """(FOLDS, languages + 1, N_BUCKETS) counts of hashed trigrams over all of docs (text, lang, fold); one dense table a task, summed in Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(known) + 1) * N_BUCKETS, np.int64)
+        total = np.zeros(FOLDS * (len(known) + 1) * N_BUCKETS, np.int64)
         for batch in batches:
-            langs, at = _langs(batch.column(1), known), 0
+            langs, at = batch.column(2).to_numpy() * (len(known) + 1) + _langs(batch.column(1), known), 0
             for some in blocks(iter(strings(batch.column(0)))):
                 grams, lengths = trigrams(some)
                 total += np.bincount(np.repeat(langs[at : at + len(some)], lengths) * N_BUCKETS + buckets(grams), minlength=total.size)
@@ -48,30 +53,32 @@ def gram_counts(docs: DataFrame, known: dict[str, int]) -> np.ndarray:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["b", "n"])
 
-    t = docs.select("text", "lang").mapInArrow(run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros((len(known) + 1) * N_BUCKETS)
+    t = docs.select("text", "lang", "fold").mapInArrow(run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(FOLDS * (len(known) + 1) * N_BUCKETS)
     out[t["b"].to_numpy()] = t["n"].to_numpy()
-    return out.reshape(-1, N_BUCKETS)
+    return out.reshape(FOLDS, -1, N_BUCKETS)
 
 
 @dataclass(frozen=True)
 class Weights:
-    """Log ratio of target and raw probability by language and bucket, and the labelled share of target rows."""
+    """Log ratio of target and raw probability by fold, language and bucket, and the labelled share of target rows."""
 
     known: dict[str, int]
     ratio: np.ndarray
     share: float
 
-    def of(self, texts: list[str], langs: np.ndarray) -> np.ndarray:
+    def of(self, texts: list[str], models: np.ndarray) -> np.ndarray:
+        """models: fold * (languages + 1) + language of each text."""
         grams, lengths = trigrams(texts)
-        return sums(self.ratio.ravel()[np.repeat(langs, lengths) * N_BUCKETS + buckets(grams)], lengths)
+        whole = sums(self.ratio.ravel()[np.repeat(models, lengths) * N_BUCKETS + buckets(grams)], lengths)
+        return whole * np.minimum(1.0, INDEPENDENT / np.maximum(lengths, 1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", max_labelled: int = MAX_LABELLED, smooth: float = 64.0) -> Weights:
-    """Raw model: all texts. Target model: the texts that at most max_labelled labels (least hash of id) call good.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", max_labelled: int = MAX_LABELLED, smooth: float = 2.0) -> Weights:
+    """Raw model: all texts. Target models: the texts that at most max_labelled labels (least hash of id) call good, but for those of the fold that the model is for.
 
-    Each language has its own pair of models, so that a language's share among the labels counts for nothing. The target's
-    counts are smoothed by smooth grams of the raw model, so what no label tells of has weight one.
+    Each language has its own models, so that a language's share among the labels counts for nothing. To a bucket's count in the target, and
+    to what would be expected there by the raw model, smooth is added: where few are expected, the ratio stays near one.
     """
     own = _own(docs, id_col, text_col, lang_col)
     many = own.groupBy("lang").count().where("lang is not null").orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
@@ -79,13 +86,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     told = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null")
     some = cut(told.select("id", (F.col("label") > 0).alias("good")).orderBy(F.xxhash64("id"), "id", "good").limit(max_labelled))
     good = some.where("good").select("id").distinct()
-    raw = gram_counts(own, known)
-    target = gram_counts(own.join(F.broadcast(good), "id", "left_semi"), known)
+    raw = gram_counts(own, known).sum(axis=0)
+    counts = gram_counts(own.join(F.broadcast(good), "id", "left_semi"), known)
+    target = counts.sum(axis=0) - counts
     p_raw = (raw + 1e-9) / (raw + 1e-9).sum(axis=1, keepdims=True)
-    p_target = (target + smooth * p_raw) / (target.sum(axis=1, keepdims=True) + smooth)
-    ratio = np.log(np.maximum(p_target, 1e-12) / p_raw)
+    p_target = p_raw * (target + smooth) / (target.sum(axis=2, keepdims=True) * p_raw + smooth)
+    ratio = np.log(p_target / p_target.sum(axis=2, keepdims=True) / p_raw)
     n, n_good = some.agg(F.count("*"), F.count_if("good")).first()
-    return Weights(known, np.clip(ratio, -6, 6), n_good / n if n else 1.0)
+    return Weights(known, ratio, n_good / n if n else 1.0)
 
 
 def gumbel(id_col: str, seed: int) -> Column:
@@ -122,11 +130,11 @@ def _scored(docs: DataFrame, weights: Weights, id_col: str, text_col: str, lang_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = _batch_weights(shared.value, batch.column(3), batch.column(4))
+            w = _batch_weights(shared.value, batch.column(3), batch.column(4), batch.column(6))
             key = w + batch.column(5).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(w), pa.array(key)], names=["k1", "k2", "doc_id", "log_weight", "key"])
 
-    own = _own(docs, id_col, text_col, lang_col).select(*_key("id", "text", "lang"), "id", "lang", "text", gumbel("id", seed).alias("g"))
+    own = _own(docs, id_col, text_col, lang_col).select(*_key("id", "text", "lang"), "id", "lang", "text", gumbel("id", seed).alias("g"), "fold")
     return own.mapInArrow(run, "k1 bigint, k2 bigint, doc_id bigint, log_weight double, key double")
 
 
@@ -134,24 +142,25 @@ def _key(id_col: str, text_col: str, lang_col: str) -> tuple[Column, Column]:
     return row_key(*id_and_text(id_col, text_col), F.col(lang_col).cast("string"))
 
 
-def _batch_weights(weights: Weights, lang: pa.Array, text: pa.Array) -> np.ndarray:
-    langs, at, out = _langs(lang, weights.known), 0, [np.zeros(0)]
+def _batch_weights(weights: Weights, lang: pa.Array, text: pa.Array, fold: pa.Array) -> np.ndarray:
+    models, at, out = fold.to_numpy() * (len(weights.known) + 1) + _langs(lang, weights.known), 0, [np.zeros(0)]
     for some in blocks(iter(strings(text))):
-        out.append(weights.of(some, langs[at : at + len(some)]))
+        out.append(weights.of(some, models[at : at + len(some)]))
         at += len(some)
     return np.concatenate(out)
 
 
-def sample_size(scored: DataFrame, weights: Weights, margin: float) -> int:
-    """Expected number of target rows: each row's odds under the two models, margin nats in its favour, at most 1 each."""
-    odds = F.exp(F.least(F.col("log_weight") + margin + float(np.log(max(weights.share, 1e-9))), F.lit(0.0)))
-    return round(scored.agg(F.sum(odds)).first()[0] or 0)
+def sample_size(scored: DataFrame, weights: Weights) -> int:
+    """Expected number of target rows: the share of target rows times a row's weight is the chance that it is one, at most 1."""
+    chance = F.exp(F.least(F.col("log_weight") + float(np.log(max(weights.share, 1e-9))), F.lit(0.0)))
+    return round(scored.agg(F.sum(chance)).first()[0] or 0)
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, margin: float = 8.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """(doc_id, log_weight, key, selected): one row for each row of docs.
 
-    log_weight: sum over the text's hashed n-grams of the log ratio of target and raw probability. key adds a Gumbel
+    log_weight: sum over the text's hashed n-grams of the log ratio of target and raw probability, of a text of more than INDEPENDENT
+    n-grams that many times their mean; by models that no text of its fold has taught. key adds a Gumbel
     variate of the id; the k largest keys are a sample without replacement by weight. k: as many as are expected to be
     target text (sample_size). Rows with a tied last key are all selected. Null or empty text has log weight 0.
     Null languages share a model; without any label all log weights are 0 and all rows are selected. Repeated rows have
@@ -159,14 +168,14 @@ def resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, margin
     """
     weights = fit(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, label_col=label_col)
     scored = cut(_scored(docs, weights, id_col, text_col, lang_col, seed))
-    k = sample_size(scored, weights, margin) if k is None else k
+    k = sample_size(scored, weights) if k is None else k
     return scored.select("doc_id", "log_weight", "key", (F.col("key") >= top_k_threshold(scored, "key", k)).alias("selected"))
 
 
-def selected(docs: DataFrame, labels: DataFrame, *, margin: float = 8.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def selected(docs: DataFrame, labels: DataFrame, *, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that resample() selects, with all columns."""
     weights = fit(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col)
     scored = cut(_scored(docs, weights, id_col, text_col, lang_col, seed))
-    least = top_k_threshold(scored, "key", sample_size(scored, weights, margin))
+    least = top_k_threshold(scored, "key", sample_size(scored, weights))
     gone = cut(scored.where(F.col("key") < least).select("k1", "k2").distinct())
     return without(docs, _key(id_col, text_col, lang_col), gone)
