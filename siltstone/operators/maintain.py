@@ -53,8 +53,8 @@ def ordered_union(first: DataFrame, second: DataFrame, key: str, ordinal: str) -
 
 
 def retried(results: DataFrame, again: DataFrame, key: str, value: str) -> DataFrame:
-    """results with empty values filled from a second attempt, and whether a row is still empty."""
-    more = again.where(F.coalesce(value, F.lit("")) != "").select(key, F.col(value).alias("__v"))
+    """results with empty values filled from a second attempt, and whether a row is still empty; of several answers for a key the least counts."""
+    more = again.where(F.coalesce(value, F.lit("")) != "").groupBy(key).agg(F.min(value).alias("__v"))
     out = F.coalesce(F.nullif(value, F.lit("")), "__v")
     return results.join(more, key, "left").withColumn(value, out).withColumn("failed", F.col(value).isNull()).drop("__v")
 

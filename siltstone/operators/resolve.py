@@ -97,10 +97,16 @@ def type_pages(symbols: DataFrame) -> DataFrame:
 CITED = r"\[([^\]]+?):(\d+)\]"
 
 
+def _cited(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, cited, digits, line): each [name:line] in a text, with the line as it stands there and as a number; lines beyond 64 bits are null."""
+    names, digits = (F.regexp_extract_all(text_col, F.lit(CITED), F.lit(g)) for g in (1, 2))
+    each = texts.select(id_col, F.explode(F.arrays_zip(names.alias("cited"), digits.alias("digits"))).alias("c"))
+    return each.select(id_col, "c.cited", "c.digits", F.expr("try_cast(c.digits AS bigint)").alias("line"))
+
+
 def citations(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, cited, line): each [name:line] in a text; lines beyond 64 bits are null."""
-    names, lines = (F.regexp_extract_all(text_col, F.lit(CITED), F.lit(g)) for g in (1, 2))
-    return texts.select(id_col, F.explode(F.arrays_zip(names.alias("cited"), lines.alias("line"))).alias("c")).select(id_col, "c.cited", F.expr("try_cast(c.line AS bigint)").alias("line"))
+    return _cited(texts, id_col, text_col).drop("digits")
 
 
 def validate_citations(cited: DataFrame, files: DataFrame) -> DataFrame:
@@ -141,12 +147,12 @@ def rewritten_citations(texts: DataFrame, files: DataFrame, id_col: str, text_co
 
     With a repository (its address) links lead to the file's line there, else to the file's page.
     """
-    told = citations(texts, id_col, text_col).distinct()
-    mark = F.concat(F.lit("["), "cited", F.lit(":"), F.col("line").cast("string"), F.lit("]"))
+    told = _cited(texts, id_col, text_col).distinct()
+    mark = F.concat(F.lit("["), "cited", F.lit(":"), "digits", F.lit("]"))
     page = F.concat(F.lit("api/"), F.regexp_replace("cited", r"\.[^.]+$", ""), F.lit(".md"))
     to = page if repository is None else F.concat(F.lit(f"{repository.rstrip('/')}/blob/{branch}/"), "cited", F.lit("#L"), F.col("line").cast("string"))
     new = F.when(F.col("valid"), F.concat(mark, F.lit("("), to, F.lit(")"))).otherwise(F.concat(F.lit("`"), "cited", F.lit("`")))
-    judged = validate_citations(told.where("line is not null"), files)
+    judged = validate_citations(told, files)
     pairs = judged.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(mark.alias("old"), new.alias("new")))).alias("pairs"), F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_dropped"))
     out = F.aggregate("pairs", F.col(text_col), lambda t, p: F.replace(t, p["old"], p["new"]))
     zero = F.lit(0).cast("bigint")

@@ -135,23 +135,27 @@ BLOCK = 2048
 def vector_topk(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank) of the k most similar rows to each row of queries; scores of any sign count; ties to the smaller id.
 
-    Blocks of queries meet blocks of rows, each giving k rows a query at most; vectors of one length, 0 for one without length.
+    Blocks of queries meet blocks of rows, each giving k rows a query at most; a block's vectors have as many elements. Vectors of other sizes, null or zero ones score 0;
+    null elements count as 0, rows of null id are left out.
     """
 
     def blocks(rows: DataFrame, names: tuple[str, str, str]) -> DataFrame:
         n = max(1, -(-rows.count() // BLOCK))
-        own = rows.select(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"), F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-        return own.groupBy("block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs")).toDF(*names)
+        vector = F.transform(F.coalesce(F.col(vector_col).cast("array<double>"), F.array().cast("array<double>")), lambda x: F.coalesce(x, F.lit(0.0)))
+        own = rows.where(F.col(id_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"), F.col(id_col).cast("bigint").alias("id"), vector.alias("v"))
+        same = own.groupBy("block", F.size("v").alias("size")).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
+        return same.select(F.struct("block", "size").alias("block"), "ids", "vs").toDF(*names)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unit(vs) -> np.ndarray:
-            v = np.array(vs.as_py(), np.float64)
+            v = np.array(vs.as_py(), np.float64).reshape(len(vs), -1)
             size = np.sqrt((v * v).sum(axis=1, keepdims=True))
             return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
 
         for batch in batches:
             for qi, qv, ti, tv in zip(*(batch.column(c) for c in ("qi", "qv", "ti", "tv")), strict=True):
-                q, t, score = np.array(qi.as_py(), np.int64), np.array(ti.as_py(), np.int64), np.round(unit(qv) @ unit(tv).T, digits)
+                q, t, a, b = np.array(qi.as_py(), np.int64), np.array(ti.as_py(), np.int64), unit(qv), unit(tv)
+                score = np.round(a @ b.T, digits) if a.shape[1] == b.shape[1] else np.zeros((q.size, t.size))
                 top = [np.lexsort((t, -x))[:k] for x in score]
                 n = [x.size for x in top]
                 at = np.concatenate(top)

@@ -214,6 +214,16 @@ def naming_styles(spark, d):
     return rules.inconsistent_naming(table(spark, d, "symbols").where("ordinal % 4 < 3"), dominant=0.3)
 
 
+#: Names of which three quarters are of one style.
+_RENAMED = "CASE WHEN ordinal % 4 = 0 THEN name ELSE replace(replace(name, 'parse_it', 'parseIt'), 'User', 'user') END"
+
+
+@query(f"""WITH {cte("symbols")}, n AS (SELECT {_STYLE.replace("name", "s.renamed")} AS style, min(ordinal) AS ordinal, count(*) AS n FROM (SELECT *, {_RENAMED} AS renamed FROM symbols) s WHERE exported GROUP BY 1), f AS (SELECT sum(n) AS exports, sum(n) FILTER (style IS NOT NULL) AS a, max(n) FILTER (style IS NOT NULL) AS top FROM n)
+    SELECT 'inconsistent-naming' AS rule, 'info' AS severity, style AS subject, ordinal FROM n, f WHERE style IS NOT NULL AND exports >= 5 AND n < top AND n > 2 AND top / a > 0.6 AND top / a < 0.95""")
+def dominant_naming(spark, d):
+    return rules.inconsistent_naming(table(spark, d, "symbols").withColumn("name", F.expr(_RENAMED)))
+
+
 @query(f"WITH {cte('modules')} SELECT 'deep-nesting' AS rule, path AS subject, ordinal, CASE WHEN count(*) OVER () > 10 THEN 'warning' ELSE 'info' END AS severity FROM modules WHERE len(string_split(path, '/')) > 5")
 def deep_modules(spark, d):
     return rules.deep_nesting(table(spark, d, "modules"))
@@ -364,10 +374,16 @@ def extension_histogram(spark, d):
     return corpus.extension_histogram(table(spark, d, "modules"))
 
 
-@query(f"""WITH {cte("modules")}, e AS (SELECT path, CASE WHEN ordinal % 10 = 0 THEN 'tree' ELSE 'blob' END AS type FROM modules)
-    SELECT count(*) AS total, count(*) FILTER (lower(split_part(path, '.', -1)) IN ({_strings(e.lstrip(".") for e in corpus.supported_extensions())}) AND NOT list_has_any(string_split(path, '/'), [{_strings(corpus.SKIPPED_FOLDERS)}])) AS source FROM e WHERE type = 'blob'""")
+#: Endings by which a made-up tree's files differ: some of source, some of the language table alone.
+_TREE_PATH = "concat(path, CASE ordinal % 9 WHEN 0 THEN '.lua' WHEN 1 THEN '.mjs' WHEN 2 THEN '.pyi' WHEN 3 THEN '.Kts' WHEN 4 THEN '/Dockerfile' ELSE '' END)"
+
+
+@query(f"""WITH {cte("modules")}, e AS (SELECT {_TREE_PATH} AS path, CASE WHEN ordinal % 10 = 0 THEN 'tree' ELSE 'blob' END AS type FROM modules),
+    f AS (SELECT path, regexp_matches(path, '\.(ts|tsx|js|jsx|py|go|rs|java|rb|php|cs|c|h|cpp|hpp|cc|cxx|swift|kt|kts|scala|sh|bash|yaml|yml|tf|hcl|md|json|toml|xml|sql|dockerfile)$', 'i') OR regexp_matches(path, '(^|/)dockerfile$', 'i') AS known,
+      regexp_matches(path, '(^|/)(node_modules|dist|build|out|\.git|\.next|vendor|__pycache__|venv|\.venv|target|coverage|site|test|tests|__tests__)(/|$)') AS skipped FROM e WHERE type = 'blob')
+    SELECT count(*) AS total, count(*) FILTER (known AND NOT skipped) AS source FROM f""")
 def tree_counts(spark, d):
-    return corpus.tree_counts(table(spark, d, "modules").select("path", F.when(F.col("ordinal") % 10 == 0, "tree").otherwise("blob").alias("type")))
+    return corpus.tree_counts(table(spark, d, "modules").selectExpr(f"{_TREE_PATH} AS path", "CASE WHEN ordinal % 10 = 0 THEN 'tree' ELSE 'blob' END AS type"))
 
 
 @query(f"WITH {cte('modules')} SELECT path, NOT regexp_matches(path, '(^|/)(test|tests|__tests__|migrations)/|\\.(test|spec)\\.|^(lib0|site|dist|build|out|env|vendor|target|coverage)/') AS wanted, CASE language WHEN 'typescript' THEN 'TypeScript' WHEN 'javascript' THEN 'JavaScript' WHEN 'json' THEN 'JSON' WHEN 'yaml' THEN 'YAML' WHEN 'python' THEN 'Python' ELSE 'Markdown' END AS shown FROM modules")
@@ -412,21 +428,23 @@ def without_deleted(spark, d):
     return maintain.without_deleted(m.select("path"), m.select("path", F.when(m.ordinal % 4 == 1, "deleted").otherwise("modified").alias("status")), "path")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '<details>' || substr(text, 1, 20) ELSE '<details>' || chr(10) || '<summary>Sources for "' || lang || '" in demo</summary>' || chr(10) || chr(10) || '- `' || source || '`' || chr(10) || '- `a/b.ts`' || chr(10) || chr(10) || '</details>' || chr(10) || substr(text, 1, 20) END AS t FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '<details>' || text ELSE '<details>' || chr(10) || '<summary>Sources for "' || lang || '" in demo</summary>' || chr(10) || chr(10) || '- `' || source || '`' || chr(10) || '- `a/b.ts`' || chr(10) || chr(10) || '</details>' || chr(10) || text END AS t FROM documents""")
 def provenance(spark, d):
     docs = read(spark, d, "documents")
-    t = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("<details>"), F.substring("text", 1, 20))).otherwise(F.substring("text", 1, 20))
+    t = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("<details>"), "text")).otherwise(F.col("text"))
     return docs.select("doc_id", validate.with_provenance(t, F.array("source", F.lit("a/b.ts")), F.col("lang"), "demo").alias("t"))
 
 
-@query("""WITH c AS (SELECT doc_id, source AS cited, doc_id * 37 % 60000 AS line, 'See [' || source || ':' || (doc_id * 37 % 60000) || '] and [no file:3].' AS t FROM documents), f AS (SELECT source AS cited, max(n_chars) AS line_count FROM documents GROUP BY source)
-    SELECT doc_id, CASE WHEN line BETWEEN 1 AND line_count THEN 'See [' || cited || ':' || line || '](https://x.example/r/blob/main/' || cited || '#L' || line || ') and `no file`.' ELSE 'See `' || cited || '` and `no file`.' END AS t,
-    CASE WHEN line BETWEEN 1 AND line_count THEN 1 ELSE 0 END::BIGINT AS n_valid, CASE WHEN line BETWEEN 1 AND line_count THEN 1 ELSE 2 END::BIGINT AS n_dropped FROM c JOIN f USING (cited)""")
+@query("""WITH c AS (SELECT doc_id, source AS cited, doc_id * 37 % 60000 AS line, CASE WHEN doc_id % 4 = 0 THEN '0' ELSE '' END || (doc_id * 37 % 60000) AS told, text FROM documents), f AS (SELECT source AS cited, max(n_chars) AS line_count FROM documents GROUP BY source)
+    SELECT doc_id, sha256(text || ' See ' || CASE WHEN line BETWEEN 1 AND line_count THEN '[' || cited || ':' || told || '](https://x.example/r/blob/main/' || cited || '#L' || line || ')' ELSE '`' || cited || '`' END || ', `no file` and `' || cited || '`.') AS t,
+    CASE WHEN line BETWEEN 1 AND line_count THEN 1 ELSE 0 END::BIGINT AS n_valid, CASE WHEN line BETWEEN 1 AND line_count THEN 2 ELSE 3 END::BIGINT AS n_dropped FROM c JOIN f USING (cited)""")
 def citation_rewrite(spark, d):
     docs = read(spark, d, "documents")
-    t = F.concat(F.lit("See ["), "source", F.lit(":"), (F.col("doc_id") * 37 % 60000).cast("string"), F.lit("] and [no file:3]."))
+    line = F.concat(F.when(F.col("doc_id") % 4 == 0, "0").otherwise(""), (F.col("doc_id") * 37 % 60000).cast("string"))
+    t = F.concat("text", F.lit(" See ["), "source", F.lit(":"), line, F.lit("], [no file:3] and ["), "source", F.lit(":99999999999999999999999]."))
     files = docs.groupBy(F.col("source").alias("cited")).agg(F.max("n_chars").alias("line_count"))
-    return resolve.rewritten_citations(docs.select("doc_id", t.alias("t")), files, "doc_id", "t", repository="https://x.example/r/")
+    out = resolve.rewritten_citations(docs.select("doc_id", t.alias("t")), files, "doc_id", "t", repository="https://x.example/r/")
+    return out.withColumn("t", F.sha2("t", 256))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS module, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS f FROM documents WHERE doc_id % 5 <> 0

@@ -91,10 +91,19 @@ def extension_histogram(files: DataFrame, most: int = 10) -> DataFrame:
     return files.groupBy(F.lower(F.regexp_extract(base, r"^.+(\.[^.]*)$", 1)).alias("extension")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "extension").limit(most)
 
 
+#: Endings that count as source in a tree; what follows the last dot, or a whole path without one.
+TREE_ENDINGS = [
+    "ts", "tsx", "js", "jsx", "py", "go", "rs", "java", "rb", "php",
+    "cs", "c", "h", "cpp", "hpp", "cc", "cxx", "swift", "kt", "kts", "scala",
+    "sh", "bash", "yaml", "yml", "tf", "hcl", "md", "json", "toml", "xml",
+    "sql", "dockerfile",
+]
+
+
 def tree_counts(entries: DataFrame) -> DataFrame:
-    """One row (total, source) of entries (path, type): files, and source files outside of SKIPPED_FOLDERS."""
+    """One row (total, source) of entries (path, type): files, and files of TREE_ENDINGS outside of SKIPPED_FOLDERS."""
     parts = F.split("path", "/")
-    known = F.lower(F.element_at(F.split("path", r"\."), -1)).isin([e for x in LANGUAGES.values() for e in x.split()]) | (F.lower(F.element_at(parts, -1)) == "dockerfile")
+    known = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(TREE_ENDINGS) | (F.lower(F.element_at(parts, -1)) == "dockerfile")
     source = known & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED_FOLDERS)))
     return entries.where("type = 'blob'").agg(F.count("*").alias("total"), F.count_if(source).alias("source"))
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import context, parsers, resolve, retrieval
+from siltstone.operators import context, maintain, parsers, resolve, retrieval
 from siltstone.sources import corpus
 from siltstone.streaming import limits
 
@@ -141,3 +141,32 @@ def test_dispatch_limits(spark):
     got = limits.dispatched(spark.createDataFrame(rows, "service int, event_id int, t int, key string, visitor string").repartition(5), "service").collect()
     for s in (1, 2):
         assert [r.accepted for r in sorted(got, key=lambda r: r.event_id) if r.service == s] == [True, False, False, True, True, True, True, False, True, False, True]
+
+
+def test_odd_citations(spark):
+    text = "see [a.ts:03] and [a.ts:3] and [a.ts:99999999999999999999] and [b.ts:1] [a.ts:0]"
+    files = spark.createDataFrame([("a.ts", 5)], "cited string, line_count int")
+    r = resolve.rewritten_citations(spark.createDataFrame([(1, text), (2, None), (3, "none")], "id int, t string"), files, "id", "t").collect()
+    got = {x.id: (x.t, x.n_valid, x.n_dropped) for x in r}
+    assert got[1] == ("see [a.ts:03](api/a.md) and [a.ts:3](api/a.md) and `a.ts` and `b.ts` `a.ts`", 2, 3)
+    assert got[2] == (None, 0, 0) and got[3] == ("none", 0, 0)
+
+
+def test_trees_count_their_own_endings(spark):
+    paths = ["a.mjs", "b.lua", "c.mdx", "d.pyi", "e.ts", "f.zsh", "Dockerfile", "x/dockerfile", "tests/g.ts", "h.KTS", "md"]
+    r = corpus.tree_counts(spark.createDataFrame([(p, "blob") for p in paths] + [("src", "tree")], "path string, type string")).first()
+    assert (r.total, r.source) == (11, 5)
+
+
+def test_answers_that_come_twice(spark):
+    first = spark.createDataFrame([("a", ""), ("b", "x"), ("c", None)], "k string, v string")
+    again = spark.createDataFrame([("a", "2"), ("a", "1"), ("a", ""), ("c", "")], "k string, v string")
+    assert sorted(map(tuple, maintain.retried(first, again, "k", "v").collect())) == [("a", "1", False), ("b", "x", False), ("c", None, True)]
+
+
+def test_vectors_of_other_sizes(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0]), (4, None), (5, []), (6, [None, 3.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = {(r.query_id, r.id): r.score for r in retrieval.vector_topk(df, df.where("id in (1, 4, 6)"), "id", "v", 10).collect()}
+    assert len(got) == 21 and got[1, 1] == got[6, 2] == 1 and got[1, 7] == -1 and got[1, 3] == got[1, 4] == got[4, 4] == got[4, 5] == got[6, 1] == 0
+    assert [r.id for r in retrieval.vector_topk(df, df.where("id = 4"), "id", "v", 2).orderBy("rank").collect()] == [1, 2]
