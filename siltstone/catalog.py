@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import batching, folds, graph, maintain, modules, resolve, retrieval, rules, signals, validate
+from siltstone.operators.shared import new_folder
+from siltstone.operators.text_index import TextIndex
 from siltstone.plans import code_queries, limit_queries, link_queries
 from siltstone.registry import ORACLES, QUERIES, query, read
 
@@ -235,6 +237,16 @@ def snapshot_diff(spark, d):
     return maintain.snapshot_diff(a, b, "doc_id", F.sha2("text", 256))
 
 
+@query(_bm25_sql("true", 10).replace("WITH d AS", f"WITH {_SNAP}, d AS").replace("FROM documents)", "FROM b)", 1).replace("FROM documents,", "FROM b,"))
+def index_upkeep(spark, d):
+    """One snapshot indexed, the changes to the next one put in, and searched as it is then."""
+    a, b = _snapshots(spark, d)
+    index = TextIndex(spark, new_folder(spark, "index"), "doc_id")
+    index.put(a.withColumn("status", F.lit("added")), F.col("text"))
+    index.put(maintain.snapshot_diff(a, b, "doc_id", F.sha2("text", 256)).join(b, "doc_id", "left"), F.col("text"))
+    return index.search(_terms(spark, set(TERMS)), 10).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query(f"WITH {_SNAP} SELECT doc_id, sha256(text) AS h FROM a WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, sha256(text) FROM b WHERE doc_id % 7 = 0")
 def merge_snapshots(spark, d):
     a, b = _snapshots(spark, d)

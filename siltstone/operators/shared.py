@@ -53,3 +53,10 @@ class Rounds:
         if before:
             remove(self.spark, before)
         return self.spark.read.schema(df.schema).parquet(path)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of whatever store, sorted; none where there is no such folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
