@@ -23,8 +23,8 @@ def resolve_candidates(imports: DataFrame, nodes: DataFrame) -> DataFrame:
     return each.join(nodes, "path").groupBy("src", "import_ordinal").agg(F.min_by("path", "node_ordinal").alias("dst"))
 
 
-def relative_candidates(imports: DataFrame) -> DataFrame:
-    """Adds candidates for sources that begin with a dot or @/: the joined path, with and without its .js, .mjs or .cjs, each as it is and with each ending."""
+def _local_paths(imports: DataFrame) -> DataFrame:
+    """Imports whose source begins with a dot or @/, with the joined path __p, and without its .js, .mjs or .cjs as __b."""
     folder = F.array_join(F.slice(F.split("src", "/"), 1, F.greatest(F.size(F.split("src", "/")) - 1, F.lit(0))), "/")
     raw = F.when(F.col("source").startswith("@/"), F.concat(F.lit("src/"), F.substr("source", F.lit(3)))).otherwise(F.concat_ws("/", F.when(folder != "", folder), F.col("source")))
     none = F.array().cast("array<string>")
@@ -35,8 +35,21 @@ def relative_candidates(imports: DataFrame) -> DataFrame:
 
     path = F.array_join(F.aggregate(F.split(raw, "/"), none, step), "/")
     bare = F.regexp_replace(path, r"\.[mc]?js$", "")
-    rows = imports.where(F.col("source").startswith(".") | F.col("source").startswith("@/")).withColumns({"__p": path, "__b": bare})
-    return rows.withColumn("candidates", F.array(*(F.concat(c, F.lit(s)) for c in ("__p", "__b") for s in ("", *ENDINGS)))).drop("__p", "__b")
+    return imports.where(F.col("source").startswith(".") | F.col("source").startswith("@/")).withColumns({"__p": path, "__b": bare})
+
+
+def relative_candidates(imports: DataFrame) -> DataFrame:
+    """Adds candidates for local sources: the joined path, with and without its ending, each as it is and with each ending."""
+    return _local_paths(imports).withColumn("candidates", F.array(*(F.concat(c, F.lit(s)) for c in ("__p", "__b") for s in ("", *ENDINGS)))).drop("__p", "__b")
+
+
+def resolve_relative(imports: DataFrame, nodes: DataFrame) -> DataFrame:
+    """resolve_candidates() of relative_candidates(), by stems: an import asks for two paths at most, and a node answers to three, its own and what its endings leave of it."""
+    asked = _local_paths(imports).select("src", "import_ordinal", F.explode(F.array_distinct(F.array("__p", "__b"))).alias("stem"))
+    left = [F.when(F.endswith("path", F.lit(e)), F.expr(f"left(path, length(path) - {len(e)})")) for e in ENDINGS]
+    stems = nodes.select("path", "node_ordinal", F.explode(F.array_compact(F.array("path", *left))).alias("stem"))
+    first = stems.groupBy("stem").agg(F.min_by(F.struct("path", "node_ordinal"), "node_ordinal").alias("n"))
+    return asked.join(first, "stem").groupBy("src", "import_ordinal").agg(F.min_by("n.path", "n.node_ordinal").alias("dst"))
 
 
 def workspace_candidates(imports: DataFrame, packages: DataFrame) -> DataFrame:
@@ -59,7 +72,7 @@ def build_graph(imports: DataFrame, nodes: DataFrame, packages: DataFrame | None
     Local sources by their path; others by the packages, of which the first one wins in which a file is found. The rest is external. Import
     ordinals are unique.
     """
-    local = resolve_candidates(relative_candidates(imports), nodes)
+    local = resolve_relative(imports, nodes)
     found = local
     if packages is not None:
         far = imports.where(~F.col("source").startswith(".") & ~F.col("source").startswith("@/"))

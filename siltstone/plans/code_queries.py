@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import batching, context, graph, maintain, modules, resolve, rules, signals, validate
+from siltstone.operators.shared import cut
 from siltstone.plans.code_tables import cte, table
 from siltstone.registry import query, read
 from siltstone.sources import corpus
@@ -108,6 +109,11 @@ _RESOLVED = f"""{cte("modules", "imports", "packages")},
     g AS (SELECT src, import_ordinal, arg_min(path, package_ordinal * 1000000000000 + ordinal) AS dst FROM (SELECT * FROM c UNION ALL SELECT * FROM wx) JOIN modules USING (path) GROUP BY ALL)"""
 
 
+def _graph_once(spark, d):
+    """The graph as a checkpoint, for queries that read it more than once."""
+    return cut(_graph(spark, d))
+
+
 def _graph(spark, d):
     nodes = table(spark, d, "modules").select("path", F.col("ordinal").alias("node_ordinal"))
     return resolve.build_graph(table(spark, d, "imports"), nodes, table(spark, d, "packages"))
@@ -135,7 +141,7 @@ def module_degrees(spark, d):
     coalesce(string_agg(other, ',' ORDER BY b) FILTER (up AND b <= 8), '') AS referenced_by FROM r GROUP BY node""")
 def neighbourhood(spark, d):
     joined = lambda c: F.array_join(c, ",").alias(c)
-    return graph.neighbourhood(_graph(spark, d)).select("node", "n_in", "n_out", joined("upstream"), joined("downstream"), joined("referenced_by"))
+    return graph.neighbourhood(_graph_once(spark, d)).select("node", "n_in", "n_out", joined("upstream"), joined("downstream"), joined("referenced_by"))
 
 
 @query(f"""WITH {cte("modules", "imports")}, l AS (SELECT DISTINCT src AS path, source, regexp_replace(regexp_replace(source, '^\\./', ''), '^@/', 'src/') AS s FROM imports WHERE starts_with(source, '.') OR starts_with(source, '@/')),
@@ -164,7 +170,7 @@ _DIR = "regexp_replace({p}, '/[^/]*$', '')"
       WHEN {_SECTION.replace("{p}", "t")} <> '' AND {_SECTION.replace("{p}", "path")} = {_SECTION.replace("{p}", "t")} THEN 0.3 WHEN contains(lower(path), 'readme') OR contains(lower(path), 'doc') THEN 0.2 ELSE 0 END AS score FROM modules, t WHERE path <> t)
     SELECT path, score::DOUBLE AS score FROM s WHERE score > 0""")
 def target_context(spark, d):
-    e = _graph(spark, d)
+    e = _graph_once(spark, d)
     target = e.agg(F.min_by("dst", "ordinal")).first()[0]
     return context.target_scores(table(spark, d, "modules"), e, target).select("path", "score")
 
@@ -195,7 +201,7 @@ def oversized_modules(spark, d):
 @query(f"""WITH {_RESOLVED}, o AS (SELECT path, ordinal FROM modules WHERE path NOT IN (SELECT src FROM g UNION SELECT dst FROM g) AND NOT regexp_matches(lower(path), 'index\\.|main\\.|app\\.|utils|helpers|lib/|config|schema|\\.(json|yaml|yml|toml)$'))
     SELECT 'orphan' AS rule, path AS subject, ordinal, CASE WHEN count(*) OVER () > 5 THEN 'warning' ELSE 'info' END AS severity FROM o""")
 def orphan_modules(spark, d):
-    return rules.orphaned(table(spark, d, "modules").select(F.col("path").alias("node"), "ordinal"), _graph(spark, d))
+    return rules.orphaned(table(spark, d, "modules").select(F.col("path").alias("node"), "ordinal"), _graph_once(spark, d))
 
 
 @query(f"""WITH {cte("symbols")}, f AS (SELECT * FROM symbols WHERE language = 'typescript' AND exported AND kind = 'function'),
@@ -232,7 +238,7 @@ def deep_modules(spark, d):
 def _all_rules(spark, d):
     s = table(spark, d, "symbols").withColumnsRenamed({"summary": "doc_summary"}).withColumn("ai_summary", F.lit(None).cast("string")).withColumn("parameters", F.array(F.struct(F.col("param").alias("name"), F.col("param_type").alias("type"))))
     m = _counted(spark, d)
-    return rules.all_rules(m, s, m.select(F.col("path").alias("node"), "ordinal"), _graph(spark, d))
+    return rules.all_rules(m, s, m.select(F.col("path").alias("node"), "ordinal"), _graph_once(spark, d))
 
 
 @query()
