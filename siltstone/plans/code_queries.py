@@ -385,8 +385,8 @@ _TREE_PATH = "concat(path, CASE ordinal % 9 WHEN 0 THEN '.lua' WHEN 1 THEN '.mjs
 
 
 @query(f"""WITH {cte("modules")}, e AS (SELECT {_TREE_PATH} AS path, CASE WHEN ordinal % 10 = 0 THEN 'tree' ELSE 'blob' END AS type FROM modules),
-    f AS (SELECT path, regexp_matches(path, '\.(ts|tsx|js|jsx|py|go|rs|java|rb|php|cs|c|h|cpp|hpp|cc|cxx|swift|kt|kts|scala|sh|bash|yaml|yml|tf|hcl|md|json|toml|xml|sql|dockerfile)$', 'i') OR regexp_matches(path, '(^|/)dockerfile$', 'i') AS known,
-      regexp_matches(path, '(^|/)(node_modules|dist|build|out|\.git|\.next|vendor|__pycache__|venv|\.venv|target|coverage|site|test|tests|__tests__)(/|$)') AS skipped FROM e WHERE type = 'blob')
+    f AS (SELECT path, regexp_matches(path, '\\.(ts|tsx|js|jsx|py|go|rs|java|rb|php|cs|c|h|cpp|hpp|cc|cxx|swift|kt|kts|scala|sh|bash|yaml|yml|tf|hcl|md|json|toml|xml|sql|dockerfile)$', 'i') OR regexp_matches(path, '(^|/)dockerfile$', 'i') AS known,
+      regexp_matches(path, '(^|/)(node_modules|dist|build|out|\\.git|\\.next|vendor|__pycache__|venv|\\.venv|target|coverage|site|test|tests|__tests__)(/|$)') AS skipped FROM e WHERE type = 'blob')
     SELECT count(*) AS total, count(*) FILTER (known AND NOT skipped) AS source FROM f""")
 def tree_counts(spark, d):
     return corpus.tree_counts(table(spark, d, "modules").selectExpr(f"{_TREE_PATH} AS path", "CASE WHEN ordinal % 10 = 0 THEN 'tree' ELSE 'blob' END AS type"))
