@@ -46,3 +46,27 @@ def test_held_out_accuracy(spark, sf_dir):
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id bigint, text string, lang string")
     assert G.identify(docs).collect()[0].lang_pred == "und" and G.identify(docs.limit(0)).count() == 0
+
+
+def test_predict_like_a_plain_forward_pass():
+    net = G.Network(["de", "en", "fr"], seed=9)
+    net.p["b%d" % G.WIDTHS[0]] += 0.1
+    texts = ["", "a", "wörter " * 3, "x" * G.LENGTH, "ab c" * G.LENGTH, "\0\0zz" * 90]
+    langs, scores = net.predict(texts, batch=2)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        raw = text.encode()
+        starts = [0] if len(raw) <= G.LENGTH else [*range(0, len(raw) - G.LENGTH + 1, G.LENGTH), *([len(raw) - G.LENGTH] if len(raw) % G.LENGTH else [])]
+        total = np.zeros(3)
+        for s in starts:
+            window = raw[s : s + G.LENGTH].ljust(G.LENGTH, b"\0")
+            h = []
+            for w in G.WIDTHS:
+                for f in range(G.FILTERS):
+                    at = [sum(float(p["e"][window[i + j]] @ p[f"w{w}"][j * G.EMBED : (j + 1) * G.EMBED, f]) for j in range(w)) for i in range(0, G.LENGTH - w + 1)]
+                    h.append(max(max(at) + p[f"b{w}"][f], 0.0))
+            z = [sum(h[i] * p["o"][i, k] for i in range(len(h))) + p["ob"][k] for k in range(3)]
+            total += np.array(z) - np.log(sum(np.exp(np.array(z) - max(z)))) - max(z)
+        prob = np.exp(total / len(starts))
+        prob /= prob.sum()
+        assert lang == net.langs[int(prob.argmax())] and abs(score - prob.max()) < 1e-4
