@@ -104,7 +104,7 @@ def bow_similarity_multi(spark, d):
 
 @query("""SELECT lang, source, count(*) AS files, sum(n_chars)::BIGINT AS chars, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines FROM documents GROUP BY lang, source""")
 def lang_stats(spark, d):
-    return read(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"), F.sum(T.line_count(F.col("text"))).alias("lines"))
+    return modules.text_totals(read(spark, d, "documents"), ["lang", "source"], "n_chars", "text")
 
 
 @query("""SELECT lang, count(*) AS n, floor(count(*) * 100.0 / (SELECT count(*) FROM documents) + 0.5)::BIGINT AS percent FROM documents GROUP BY lang""")
@@ -114,7 +114,7 @@ def lang_share(spark, d):
 
 @query("SELECT substr(sha256(text), 1, 16) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def dup_by_hash(spark, d):
-    return read(spark, d, "documents").groupBy(T.content_hash(F.col("text")).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    return modules.repeated_texts(read(spark, d, "documents"), "doc_id", "text")
 
 
 _EDGES = """
@@ -206,7 +206,7 @@ def graph_stats(spark, d):
 
 @query("SELECT l_partkey AS package, count(DISTINCT l_suppkey) AS n_modules, bool_and(l_returnflag = 'A') AS type_only FROM lineitem GROUP BY l_partkey")
 def external_usage(spark, d):
-    return read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("package")).agg(F.countDistinct("l_suppkey").alias("n_modules"), F.every(F.col("l_returnflag") == "A").alias("type_only"))
+    return modules.package_usage(read(spark, d, "lineitem").select(F.col("l_partkey").alias("package"), F.col("l_suppkey").alias("path"), (F.col("l_returnflag") == "A").alias("type_only")))
 
 
 @query("""SELECT substr(o_orderpriority, 1, 1) AS type, o_orderkey AS hash, year(o_orderdate)::INTEGER AS tag, place FROM (SELECT *, row_number() OVER (PARTITION BY substr(o_orderpriority, 1, 1) ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders) WHERE place <= 20""")
@@ -218,9 +218,7 @@ def changelog_groups(spark, d):
 @query("""WITH p AS (SELECT page_id, string_split(regexp_replace(url, '^[^:]*://', ''), '/') AS s FROM pages), x AS (SELECT page_id, s, unnest(range(1, least(len(s), 3) + 1)) AS k FROM p)
     SELECT array_to_string(s[1:k], '/') AS dir, count(*) AS n FROM x GROUP BY 1""")
 def dir_tree_rollup(spark, d):
-    s = F.split(F.regexp_replace("url", "^[^:]*://", ""), "/")
-    x = read(spark, d, "pages").select(s.alias("s")).select("s", F.explode(F.sequence(F.lit(1), F.least(F.size("s"), F.lit(3)))).alias("k"))
-    return x.groupBy(F.array_join(F.slice("s", F.lit(1), F.col("k")), "/").alias("dir")).agg(F.count("*").alias("n"))
+    return modules.directory_counts(read(spark, d, "pages"), F.regexp_replace("url", "^[^:]*://", ""))
 
 
 _SNAP = "a AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' x' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1)"

@@ -162,11 +162,36 @@ def external_imports(imports: DataFrame) -> DataFrame:
     """(package, n_modules, type_only, category): packages of sources that are no paths; dev if only types are imported."""
     from siltstone.functions.text import package_name
 
-    out = imports.where(~F.col("source").startswith(".") & ~F.col("source").startswith("/")).groupBy(package_name(F.col("source")).alias("package"))
-    rows = out.agg(F.count_distinct("path").alias("n_modules"), F.every("type_only").alias("type_only"))
+    far = imports.where(~F.col("source").startswith(".") & ~F.col("source").startswith("/"))
+    rows = package_usage(far.select(package_name(F.col("source")).alias("package"), "path", "type_only"))
     return rows.withColumn("category", F.when(F.col("type_only"), "dev").otherwise("runtime"))
 
 
+def package_usage(imports: DataFrame) -> DataFrame:
+    """(package, n_modules, type_only) of imports (package, path, type_only): how many modules use a package, and whether all do for types alone."""
+    return imports.groupBy("package").agg(F.count_distinct("path").alias("n_modules"), F.every("type_only").alias("type_only"))
+
+
+def directory_counts(paths: DataFrame, path: Column, depth: int = 3) -> DataFrame:
+    """(dir, n): rows by each beginning of their path, of depth segments at most."""
+    each = paths.select(F.split(path, "/").alias("s")).select("s", F.explode(F.sequence(F.lit(1), F.least(F.size("s"), F.lit(depth)))).alias("k"))
+    return each.groupBy(F.array_join(F.slice("s", F.lit(1), F.col("k")), "/").alias("dir")).agg(F.count("*").alias("n"))
+
+
+def text_totals(texts: DataFrame, by: list[str], size: str, text: str) -> DataFrame:
+    """(by..., files, chars, lines) of texts."""
+    from siltstone.functions.text import line_count
+
+    return texts.groupBy(*by).agg(F.count("*").alias("files"), F.sum(size).alias("chars"), F.sum(line_count(F.col(text))).alias("lines"))
+
+
+def repeated_texts(texts: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(content_hash, n, first_id) of texts that occur more than once; counted before the shuffle, so a frequent one is a row a task."""
+    from siltstone.functions.text import content_hash
+
+    return texts.groupBy(content_hash(F.col(text)).alias("content_hash")).agg(F.count("*").alias("n"), F.min(id_col).alias("first_id")).where("n > 1")
+
+
 def cluster_sizes(modules: DataFrame, symbols: DataFrame, shown: int = 3) -> DataFrame:
     """(cluster, files, symbols, key_exports): folders of modules, with the names of their first exported symbols."""
     from siltstone.functions.text import directory_cluster
