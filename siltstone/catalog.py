@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import batching, folds, graph, maintain, modules, resolve, retrieval, rules, signals, validate
+from siltstone.operators import batching, folds, graph, maintain, modules, resolve, retrieval, rules, signals, validate, vector_lists
 from siltstone.operators.shared import new_folder
 from siltstone.operators.text_index import TextIndex
 from siltstone.plans import code_queries, limit_queries, link_queries
@@ -95,6 +95,15 @@ def vector_topk_multi(spark, d):
     return retrieval.vector_topk(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
 
 
+@query("WITH s AS (SELECT q.vec_id AS query_id, t.vec_id, round(list_cosine_similarity(t.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings t WHERE q.vec_id % 100 = 0) " + _RANKED.format("vec_id"))
+def vector_lists_topk(spark, d):
+    """The same search over lists about centroids, of which only those are read that may hold one of the ten."""
+    e, folder = read(spark, d, "embeddings"), new_folder(spark, "lists")
+    vector_lists.write_vector_lists(e, folder, "vec_id", "embedding", 64)
+    found = vector_lists.vector_topk_lists(folder, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+    return found.select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+
+
 @query(_BOW + """, v AS (SELECT doc_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM b),
     s AS (SELECT q.doc_id AS query_id, v.doc_id, round(sum(v.x * q.x), 5) AS score FROM v JOIN v q USING (bucket) WHERE q.doc_id % 100 = 0 GROUP BY ALL) """ + _RANKED.format("doc_id"))
 def bow_similarity_multi(spark, d):
