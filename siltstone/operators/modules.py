@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.shared import cut
+
 #: Files without a page of their own, by name and by ending.
 NO_PAGE_NAMES = (
     "package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "tsconfig.json", "tsconfig.node.json", "tsconfig.preload.json",
@@ -215,11 +217,22 @@ def with_degrees(modules: DataFrame, edges: DataFrame) -> DataFrame:
 def related_files(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """(path, source, related): for local sources the first module whose path ends with the source and .ts or .js, or is the source.
 
-    Endings make an equality join: of each module path every ending that begins a folder is a key; a source is one key.
+    What a path must end with is told once for each distinct source. A module is only cut to the lengths that are asked for by its own file name, and
+    its file name to the lengths of sources without a folder, which may end within it; an ending has one answer, the first module's, before any source meets it.
     """
     source = F.regexp_replace(F.regexp_replace("source", r"^\./", ""), "^@/", "src/")
-    local = imports.where(F.col("source").startswith(".") | F.col("source").startswith("@/")).select("path", "source", source.alias("s")).distinct()
-    keys = local.select("path", "source", F.explode(F.array(F.concat("s", F.lit(".ts")), F.concat("s", F.lit(".js")), F.concat(F.lit("="), "s"))).alias("key"))
-    chars = F.transform(F.sequence(F.lit(1), F.length("path")), lambda i: F.substr("path", i))
-    ends = modules.select(F.col("path").alias("related"), "ordinal", F.explode(F.concat(chars, F.array(F.concat(F.lit("="), "path")))).alias("key"))
-    return keys.join(ends, "key").groupBy("path", "source").agg(F.min_by("related", "ordinal").alias("related"))
+    local = imports.where(F.col("source").startswith(".") | F.col("source").startswith("@/")).select("path", "source", source.alias("s"))
+    local = cut(local)
+    sources = local.select("s").distinct()
+    wanted = sources.select("s", F.explode(F.array(F.concat("s", F.lit(".ts")), F.concat("s", F.lit(".js")))).alias("key")).withColumn("base", F.substring_index("key", "/", -1))
+    files = modules.select(F.struct("ordinal", "path").alias("file"), F.substring_index("path", "/", -1).alias("base"))
+    lengths = F.collect_set(F.length("key")).alias("lengths")  # no longer than the longest path
+    asked = files.join(wanted.groupBy("base").agg(lengths), "base").select("file", F.explode("lengths").alias("length"))
+    ends = asked.where(F.col("length") <= F.length("file.path")).select(F.expr("right(file.path, length)").alias("key"), "file")
+    bare = wanted.where("key = base").agg(lengths)
+    names = files.groupBy("base").agg(F.min("file").alias("file")).crossJoin(F.broadcast(bare)).select("base", "file", F.explode("lengths").alias("length"))  # bare is one row
+    within = names.where(F.col("length") < F.length("base")).select(F.expr("right(base, length)").alias("key"), "file")
+    first = ends.union(within).groupBy("key").agg(F.min("file").alias("file"))
+    whole = sources.join(files, F.col("s") == F.col("file.path")).select("s", "file")
+    found = wanted.join(first, "key").select("s", "file").union(whole).groupBy("s").agg(F.min("file").alias("file"))
+    return local.join(found, "s").groupBy("path", "source").agg(F.min("file.path").alias("related"))

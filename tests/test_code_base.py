@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import context, maintain, parsers, resolve, retrieval
+from siltstone.operators import context, maintain, modules, parsers, resolve, retrieval
 from siltstone.sources import corpus
 from siltstone.streaming import limits
 
@@ -170,3 +170,29 @@ def test_vectors_of_other_sizes(spark):
     got = {(r.query_id, r.id): r.score for r in retrieval.vector_topk(df, df.where("id in (1, 4, 6)"), "id", "v", 10).collect()}
     assert len(got) == 21 and got[1, 1] == got[6, 2] == 1 and got[1, 7] == -1 and got[1, 3] == got[1, 4] == got[4, 4] == got[4, 5] == got[6, 1] == 0
     assert [r.id for r in retrieval.vector_topk(df, df.where("id = 4"), "id", "v", 2).orderBy("rank").collect()] == [1, 2]
+
+
+def test_related_files_by_endings_within_names_and_by_whole_paths(spark):
+    paths = ["a/xfoo.ts", "b/foo.js", "b/foo.ts", "src/services/p.ts", "zsrc/services/p.js", "README", "q/README", "b/index.ts"]
+    files = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, ordinal bigint")
+    rows = [("m", "./foo"), ("m", "./foo"), ("n", "@/services/p"), ("n", "./README"), ("n", "foo"), ("n", "./none"), ("o", "./index"), ("o", "./b/index")]
+    got = {tuple(r) for r in modules.related_files(spark.createDataFrame(rows, "path string, source string"), files).collect()}
+    assert got == {("m", "./foo", "a/xfoo.ts"), ("n", "@/services/p", "src/services/p.ts"), ("n", "./README", "README"), ("o", "./index", "b/index.ts"), ("o", "./b/index", "b/index.ts")}
+
+
+def test_related_files_cut_no_path_at_each_character(spark):
+    long = spark.range(300).selectExpr("concat(repeat('folder/', 6000), 'f', id, '.ts') AS path", "id AS ordinal")
+    imports = spark.createDataFrame([("m", "./f7")], "path string, source string")
+    found = modules.related_files(imports, long)
+    n = [r for r in str(found._jdf.queryExecution().optimizedPlan().toString()).split("\n") if "sequence" in r.lower()]
+    assert not n and found.first().related.endswith("/f7.ts") and found.count() == 1
+
+
+def test_graph_seeks_each_import_once(spark):
+    imports = spark.createDataFrame([("a/x.ts", 1, "./y.js", True), ("a/x.ts", 2, "@org/p/z", False), ("a/x.ts", 3, "lib", False), ("a/x.ts", 4, "./none", False)], "src string, import_ordinal bigint, source string, type_only boolean")
+    nodes = spark.createDataFrame([("a/y.ts", 1), ("a/y.js", 0), ("pk/src/z.ts", 2)], "path string, node_ordinal bigint")
+    packages = spark.createDataFrame([("@org/p", "pk", 0)], "name string, dir string, package_ordinal int")
+    edges = resolve.build_graph(imports, nodes, packages)
+    assert sorted(map(tuple, edges.collect())) == [("a/x.ts", "a/y.js", True, 1), ("a/x.ts", "pk/src/z.ts", False, 2)]
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    assert sorted(map(tuple, resolve.external_counts(imports, nodes, packages).collect())) == [("./none", 1), ("lib", 1)]
