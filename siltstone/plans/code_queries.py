@@ -114,9 +114,12 @@ def _graph_once(spark, d):
     return cut(_graph(spark, d))
 
 
+def _nodes(spark, d):
+    return table(spark, d, "modules").select("path", F.col("ordinal").alias("node_ordinal"))
+
+
 def _graph(spark, d):
-    nodes = table(spark, d, "modules").select("path", F.col("ordinal").alias("node_ordinal"))
-    return resolve.build_graph(table(spark, d, "imports"), nodes, table(spark, d, "packages"))
+    return resolve.build_graph(table(spark, d, "imports"), _nodes(spark, d), table(spark, d, "packages"))
 
 
 @query(f"WITH {_RESOLVED} SELECT src, dst, type_only, import_ordinal AS ordinal FROM g JOIN imports USING (src, import_ordinal)")
@@ -126,7 +129,7 @@ def dependency_graph(spark, d):
 
 @query(f"WITH {_RESOLVED} SELECT source, count(*) AS n FROM imports WHERE (src, import_ordinal) NOT IN (SELECT (src, import_ordinal) FROM g) GROUP BY source")
 def external_sources(spark, d):
-    return resolve.external_sources(table(spark, d, "imports"), _graph(spark, d)).groupBy("source").agg(F.count("*").alias("n"))
+    return resolve.external_counts(table(spark, d, "imports"), _nodes(spark, d), table(spark, d, "packages"))
 
 
 @query(f"""WITH {_RESOLVED}, e AS (SELECT src, dst FROM g), x AS (SELECT src AS path, 0 AS i FROM e UNION ALL SELECT dst, 1 FROM e), t AS (SELECT path, sum(i)::BIGINT AS n_in, sum(1 - i)::BIGINT AS n_out, count(*) AS degree FROM x GROUP BY path)
