@@ -121,3 +121,12 @@ def test_judge(spark, sf_dir):
     kept = R.kept(both)
     assert kept.columns == both.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.kept)
     assert R.judge(docs.limit(0)).count() == 0
+
+
+def test_a_small_cap_changes_no_measure(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.union(docs.limit(3)).repartition(3)
+    told = lambda most: sorted((r.doc_id, r.k1, r.log_perplexity, r.kept) for r in R.judge(docs, max_grams=most).collect())
+    whole, capped = told(1 << 24), told(600)
+    assert [(a, b, k) for a, b, _, k in whole] == [(a, b, k) for a, b, _, k in capped]
+    assert np.allclose([x[2] for x in whole], [x[2] for x in capped], rtol=0, atol=1e-9)
