@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.shared import placed
+
 
 def fixed_batches(rows: DataFrame, group: str, order: str, size: int = 4) -> DataFrame:
     """Adds batch: rows of a group by order, size at a time."""
@@ -120,8 +122,8 @@ def navigation(pages: DataFrame) -> DataFrame:
     """Adds group_order and place to pages (path, title, nav_group, nav_order): groups by their least order, pages within by order, then title whatever its case, then path."""
     groups = pages.groupBy("nav_group").agg(F.min("nav_order").alias("first_order"))
     ranked = groups.withColumn("group_order", F.row_number().over(Window.orderBy("first_order", "nav_group")))
-    w = Window.partitionBy("nav_group").orderBy("nav_order", F.lower("title"), "title", "path")
-    return pages.join(F.broadcast(ranked.select("nav_group", "group_order")), "nav_group").withColumn("place", F.row_number().over(w))
+    own = placed(pages, ["nav_group"], ["nav_order", F.lower("title"), "title", "path"], "place")
+    return own.join(ranked.select("nav_group", "group_order"), "nav_group")
 
 
 def path_lists(files: DataFrame, group: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import batching, context, graph, maintain, modules, resolve, rules, signals, validate
-from siltstone.operators.shared import cut
+from siltstone.operators.shared import cut, placed
 from siltstone.plans.code_tables import cte, table
 from siltstone.registry import query, read
 from siltstone.sources import corpus
@@ -403,11 +403,9 @@ def scan_filter(spark, d):
 @query(f"""WITH {cte("modules")}, a AS (SELECT path, row_number() OVER (ORDER BY ordinal) AS o, 0 AS turn FROM modules WHERE ordinal % 3 = 0), b AS (SELECT path, row_number() OVER (ORDER BY ordinal DESC) AS o, 1 AS turn FROM modules WHERE ordinal % 2 = 0),
     u AS (SELECT path, min(turn * 1000000000 + o) AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY path) SELECT path, row_number() OVER (ORDER BY place) AS n FROM u""")
 def ordered_union(spark, d):
-    from pyspark.sql import Window
-
     m = table(spark, d, "modules")
     out = maintain.ordered_union(m.where("ordinal % 3 = 0"), m.where("ordinal % 2 = 0").withColumn("ordinal", -F.col("ordinal")), "path", "ordinal")
-    return out.select("path", F.row_number().over(Window.orderBy("place")).cast("bigint").alias("n"))
+    return placed(out, [], ["place"], "n").select("path", F.col("n").cast("bigint").alias("n"))
 
 
 @query(f"""WITH {cte("modules")}, r AS (SELECT path, CASE WHEN ordinal % 3 = 0 THEN '' WHEN ordinal % 5 = 0 THEN NULL ELSE path END AS v, CASE WHEN ordinal % 2 = 0 THEN concat('again ', ordinal) ELSE '' END AS w FROM modules)

@@ -196,3 +196,15 @@ def test_graph_seeks_each_import_once(spark):
     assert sorted(map(tuple, edges.collect())) == [("a/x.ts", "a/y.js", True, 1), ("a/x.ts", "pk/src/z.ts", False, 2)]
     assert edges._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
     assert sorted(map(tuple, resolve.external_counts(imports, nodes, packages).collect())) == [("./none", 1), ("lib", 1)]
+
+
+def test_places_are_counted_over_ranges(spark):
+    from siltstone.operators import batching
+
+    rows = [(f"p{i * 7919 % 4000}", f"T{i % 50}", "abc"[i % 3 if i % 10 else 0], i % 5) for i in range(4000)]
+    out = batching.navigation(spark.createDataFrame(rows, "path string, title string, nav_group string, nav_order int").repartition(3))
+    assert "__range" in out._jdf.queryExecution().analyzed().toString()
+    got = {r.path: (r.nav_group, r.place) for r in out.collect()}
+    for g in "abc":
+        own = sorted((r for r in rows if r[2] == g), key=lambda r: (r[3], r[1].lower(), r[1], r[0]))
+        assert [got[r[0]] for r in own] == [(g, n) for n in range(1, len(own) + 1)]
