@@ -1,12 +1,13 @@
 """The limits of limits.py as streams: events wait in state until the watermark has passed them, and are judged in order of time.
 
-State is kept by Spark in RocksDB, an entry a waiting event, a key and a visitor, so a micro-batch only touches what it needs, and
+State is kept by Spark in RocksDB, an entry a run of waiting events, a key and a visitor, so a micro-batch only touches what it needs, and
 what no rule asks for any more is cleared by a timer in event time, whether or not its key is heard of again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -22,36 +23,64 @@ def keep_state_in_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+#: Waiting rows of one entry of the state.
+RUN = 512
+
+
 class InOrder(StatefulProcessor):
-    """Holds back rows (event_id, t in seconds, ...) until the watermark passes t, then judges them by time and id."""
+    """Holds back rows (event_id, t in seconds, ...) until the watermark passes t, then judges them by time and id.
+
+    Rows wait in runs of up to RUN, sorted by time, each with a timer at its first row's. A call of the state takes as long as hundreds of rows do, so
+    all rows of a key that the watermark has passed are judged at the first of its timers, merged from their runs; of a run only what is not due is written again.
+    """
 
-    #: Columns that wait, each with the values of all rows of a time.
+    #: Columns that wait, each with the values of all rows of a run.
     held = {"event_id": "bigint"}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "t bigint", ", ".join(f"{c} array<{kind}>" for c, kind in self.held.items()))
+        self.waiting = handle.getMapState("waiting", "t bigint, n bigint", ", ".join(f"{c} array<{kind}>" for c, kind in {"times": "bigint", **self.held}.items()))
+
+    def _wait(self, rows: Iterable[tuple]) -> None:
+        """Puts rows (t, held...) into runs."""
+        ordered = sorted(rows, key=lambda r: r[0])
+        for i in range(0, len(ordered), RUN):
+            some, n = ordered[i : i + RUN], 0
+            t = some[0][0]
+            while self.waiting.containsKey((t, n)):
+                n += 1
+            self.waiting.updateValue((t, n), tuple(map(list, zip(*some, strict=True))))
+            self.handle.registerTimer(t * 1000)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        by_time: dict[int, list[tuple]] = {}
-        for r in rows:
-            by_time.setdefault(r.t, []).append(tuple(r[c] for c in self.held))
-        for t, some in by_time.items():
-            before = self.waiting.getValue((t,)) if self.waiting.containsKey((t,)) else [[] for _ in self.held]
-            self.waiting.updateValue((t,), tuple([*old, *new] for old, new in zip(before, zip(*some, strict=True), strict=True)))
-            self.handle.registerTimer(t * 1000)
+        self._wait((r.t, *(r[c] for c in self.held)) for r in rows)
         return iter(())
 
+    def _due(self, now: int) -> Iterator[tuple]:
+        """Rows (t, held...) up to now by time and id; runs are read as their first times come up."""
+        runs = sorted((t, n) for t, n in self.waiting.keys() if t <= now)
+        heap: list[tuple] = []
+        read = 0
+        while heap or runs:
+            while runs and (not heap or runs[0][0] <= heap[0][0]):
+                run = runs.pop(0)
+                for row in zip(*self.waiting.getValue(run), strict=True):
+                    read += 1
+                    heapq.heappush(heap, (row[0], row[1] is not None, row[1] or 0, read, row))
+                self.waiting.removeKey(run)
+            if heap[0][0] > now:
+                break
+            yield heapq.heappop(heap)[-1]
+        self._wait(x[-1] for x in heap)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         at = expiredTimerInfo.getExpiryTimeInMs()
-        t = at // 1000
-        if at % 1000 == 0 and self.waiting.containsKey((t,)):
-            rows = sorted(zip(*self.waiting.getValue((t,)), strict=True), key=lambda r: r[0])
-            self.waiting.removeKey((t,))
-            yield from self.judge(key, t, rows)
-        self.forget(t)
-
-    def judge(self, key, t: int, rows: list[tuple]) -> Iterator[Row]:
+        now = max(at, timerValues.getCurrentWatermarkInMs()) // 1000
+        yield from self.judge(key, self._due(now), now)
+        self.forget(at // 1000)
+
+    def judge(self, key, due: Iterator[tuple], now: int) -> Iterator[Row]:
+        """What is told of the rows that are due, of which it takes all."""
         raise NotImplementedError
 
     def forget(self, t: int) -> None:
@@ -71,14 +100,18 @@ class RateLimit(InOrder):
         super().init(handle)
         self.recent = handle.getValueState("recent", "times array<bigint>")
 
-    def judge(self, key, t: int, rows: list[tuple]) -> Iterator[Row]:
-        recent = list(self.recent.get()[0]) if self.recent.exists() else []
-        ok, recent = accept([t] * len(rows), recent, self.seconds, self.most)
-        if any(ok):
-            self.recent.update((recent,))
-            self.handle.registerTimer((t + self.seconds) * 1000)
-        for (event_id,), yes in zip(rows, ok, strict=True):
+    def judge(self, key, due: Iterator[tuple], now: int) -> Iterator[Row]:
+        recent = None
+        for t, event_id in due:
+            if recent is None:
+                recent = list(self.recent.get()[0]) if self.recent.exists() else []
+            (yes,), recent = accept([t], recent, self.seconds, self.most)
             yield self.told(*key, event_id, t, yes)
+        if recent and recent[-1] + self.seconds > now:  # else no later event asks for them
+            self.recent.update((recent,))
+            self.handle.registerTimer((recent[-1] + self.seconds) * 1000)
+        elif recent is not None and self.recent.exists():
+            self.recent.clear()
 
     def forget(self, t: int) -> None:
         if self.recent.exists() and all(t - x >= self.seconds for x in self.recent.get()[0]):
@@ -112,9 +145,11 @@ class Dispatch(InOrder):
         self.due.updateValue((gone,), ([*names, kind + name],))
         self.handle.registerTimer(gone * 1000)
 
-    def judge(self, key, t: int, rows: list[tuple]) -> Iterator[Row]:
-        began, n = self.window.get() if self.window.exists() else (None, 0)
-        for event_id, name, visitor in rows:
+    def judge(self, key, due: Iterator[tuple], now: int) -> Iterator[Row]:
+        began, n, some = None, 0, False
+        for t, event_id, name, visitor in due:
+            if not some:
+                (began, n), some = self.window.get() if self.window.exists() else (None, 0), True
             ok, started, n = self.rules.passes(t, self._at(self.last, name), self._at(self.visitors, visitor), float("-inf") if began is None else began, n)
             began = None if started == float("-inf") else started
             if ok:

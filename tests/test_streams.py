@@ -50,6 +50,17 @@ def test_dispatch_whatever_the_batches(spark, tmp_path, events):
     assert progress[-1].stateOperators[0].numRowsTotal <= 8
 
 
+def test_waiting_events_are_few_entries(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.randrange(2), i, 1_700_000_000 + rng.randrange(9000), "a", None) for i in range(6000)]
+    batch = spark.createDataFrame(rows, "service int, event_id int, t bigint, key string, visitor string")
+    want = {(r.service, r.event_id, r.accepted) for r in limits.rate_limited(batch.withColumn("service", F.col("service").cast("bigint")), "service", 300, 20).collect()}
+    half = [(9, 20_000, 1_700_000_000 + 4000 + 36_000, "x", None)]  # the watermark comes to stand within what waits
+    got, progress = told(spark, tmp_path, [rows[:4000], rows[4000:], half, CLOSING, LAST], lambda s: in_order.rate_limited_stream(s, "service", "ts", 300, 20, "10 hours"), "few_entries")
+    assert {(r.service, r.event_id, r.accepted) for r in got if r.service < 9} == want
+    assert max(p.stateOperators[0].numRowsTotal for p in progress) < 100  # 6,000 events wait
+
+
 def test_late_events_are_dropped(spark, tmp_path):
     rows = [[(1, 1, 1000, "a", None)], [(1, 2, 9000, "a", None)], [(1, 3, 9001, "a", None)], [(1, 4, 1500, "b", None)], CLOSING]
     got, _ = told(spark, tmp_path, rows, lambda s: in_order.rate_limited_stream(s, "service", "ts", 60, 5, "10 seconds"), "late_in_order")
