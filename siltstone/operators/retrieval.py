@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import cosine, tokenize, word_bucket
+from siltstone.functions.text import tokenize
 
 K1, B = 1.2, 0.75
 
@@ -108,61 +109,208 @@ def build_indexes(chunks: DataFrame, folder: str) -> None:
     """Text index and hashed bag-of-words vectors of chunks (chunk_id, heading, content), vectors over heading: content."""
     told = F.when(F.coalesce("heading", F.lit("")) != "", F.concat_ws(": ", "heading", "content")).otherwise(F.col("content"))
     write_text_index(chunks, folder, "chunk_id", F.col("content"))
-    vectors = bow_vectors(bow_counts(chunks.select("chunk_id", told.alias("t")), "chunk_id", F.col("t")), "chunk_id")
+    vectors = bow_vectors(chunks.select("chunk_id", told.alias("t")), "chunk_id", F.col("t"))
     full = chunks.join(vectors, "chunk_id", "left").select("chunk_id", F.coalesce("vector", F.array_repeat(F.lit(0.0), 256)).alias("vector"), F.lit(0).alias("ordinal"))
     write_vector_index(chunks, full, folder)
 
 
+class _Buckets(dict):
+    """Buckets of words (bytes), as functions.text.word_bucket() has them; short words are remembered."""
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.buckets = buckets
+
+    def __missing__(self, word: bytes) -> int:
+        h = 0
+        for c in word:
+            h = (h * 31 + c) & 0xFFFFFFFF
+        out = abs(h - (1 << 32) if h >> 31 else h) % self.buckets
+        if len(word) <= 32 and len(self) < 1 << 20:
+            self[word] = out
+        return out
+
+
+def _lists(groups: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """values, ordered by their groups 0 to n - 1, as a list a group."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(groups, np.arange(n + 1)), pa.int32()), pa.array(values))
+
+
+#: Documents whose words are counted at once.
+SLICE = 1024
+
+
+def _bow(docs: DataFrame, id_col: str, text: Column, buckets: int) -> DataFrame:
+    """(id, b, n): the buckets of an id's words in order, and their counts. Words are counted where the texts are; only the counts are shuffled, and texts of one id summed."""
+    names, kind = [id_col, "b", "n"], docs.select(id_col).schema[0].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, b array<bigint>, n array<bigint>"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, words = _Buckets(buckets), re.compile(rb"[a-z0-9_]+")
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                each = [[known[w] for w in words.findall(t)] if t else [] for t in some.column(1).to_pylist()]
+                rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
+                key, n = np.unique(rows * buckets + np.fromiter((b for x in each for b in x), np.int64, rows.size), return_counts=True)
+                full = np.unique(key // buckets)
+                own = np.searchsorted(full, key // buckets)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(full)), _lists(own, key % buckets, full.size), _lists(own, n.astype(np.int64), full.size)], names=names)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of rows of one id, which follow each other; the last id's wait for the next batch."""
+
+        def told(ids: pa.Array, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, _lists(key // buckets, key % buckets, len(ids)), _lists(key // buckets, n, len(ids))], names=names)
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            ids = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+            ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+            owner = np.asarray(ids.indices)  # first come, so in order
+            b, n = (table.column(i).combine_chunks() for i in (1, 2))
+            key = np.repeat(owner, np.asarray(b.value_lengths()).astype(np.int64)).astype(np.int64) * buckets + np.asarray(b.flatten())
+            keys, where = np.unique(key, return_inverse=True)
+            sums = np.zeros(keys.size, np.int64)
+            np.add.at(sums, where, np.asarray(n.flatten()))
+            out = told(ids.dictionary, keys, sums)
+            held = out.slice(out.num_rows - 1)
+            yield out.slice(0, out.num_rows - 1)
+        if held is not None:
+            yield held
+
+    counted = docs.select(id_col, F.lower(text).cast("binary").alias("t")).mapInArrow(count, schema)
+    return counted.repartition(id_col).sortWithinPartitions(id_col).mapInArrow(total, schema)
+
+
+def _norm(n: Column) -> Column:
+    return F.sqrt(F.aggregate(n, F.lit(0).cast("bigint"), lambda a, x: a + x * x))
+
+
 def bow_counts(docs: DataFrame, id_col: str, text: Column, buckets: int = 256) -> DataFrame:
     """(id, bucket, n, weight): hashed bag of words, weight with unit length; texts without words have no row."""
-    words = docs.select(id_col, F.explode(F.split(F.lower(text), "[^a-z0-9_]+")).alias("w")).where("w <> ''")
-    by_word = words.groupBy(id_col, "w").agg(F.count("*").alias("n"))
-    n = by_word.groupBy(id_col, word_bucket(F.col("w"), buckets).alias("bucket")).agg(F.sum("n").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(id_col)))
-    return n.withColumn("weight", F.col("n") / norm)
-
+    each = _bow(docs, id_col, text, buckets).withColumn("norm", _norm(F.col("n"))).select(id_col, "norm", F.explode(F.arrays_zip("b", "n")).alias("x"))
+    return each.select(id_col, F.col("x.b").cast("int").alias("bucket"), F.col("x.n").alias("n"), (F.col("x.n") / F.col("norm")).alias("weight"))
 
-def bow_vectors(counts: DataFrame, id_col: str, buckets: int = 256) -> DataFrame:
-    """(id, vector): dense arrays from bow_counts()."""
-    m = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    return m.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector"))
 
+def bow_vectors(docs: DataFrame, id_col: str, text: Column, buckets: int = 256) -> DataFrame:
+    """(id, vector): the weights of bow_counts() as dense arrays."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
 
-#: Query rows and table rows of one block of similarities.
-BLOCK = 2048
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                ids, b, n = batch.slice(at, SLICE).columns
+                v = np.zeros((len(ids), buckets))
+                v[np.repeat(np.arange(len(ids)), np.asarray(b.value_lengths())), np.asarray(b.flatten())] = np.asarray(n.flatten())
+                v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * buckets, pa.int32()), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([ids, flat], names=[id_col, "vector"])
+
+    return _bow(docs, id_col, text, buckets).mapInArrow(dense, f"`{id_col}` {kind}, vector array<double>")
+
+
+#: Most queries that a task holds, rows that it meets them with, and similarities that it makes at once.
+QUERIES, ROWS, SCORES = 1 << 14, 1 << 16, 1 << 22
+
+
+class _Best:
+    """The k best rows of each query so far, by score and smaller id."""
+
+    def __init__(self, k: int, digits: int):
+        self.k, self.digits = k, digits
+        self.ids, self.sized = np.empty(0, np.int64), {}
+        self.top = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))  # query's place, score, id; ordered
+
+    @staticmethod
+    def _sized(ids: np.ndarray, vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and unit vectors by number of elements."""
+        size = np.asarray(vectors.value_lengths()).astype(np.int64)
+        flat, ends = np.asarray(vectors.flatten()), np.cumsum(size)
+        for one in np.unique(size):
+            at = np.flatnonzero(size == one)
+            v = flat[(ends[at] - one)[:, None] + np.arange(one)]
+            length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            yield at, np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+
+    def ask(self, ids: np.ndarray, vectors: pa.ListArray) -> None:
+        for at, v in self._sized(ids, vectors):
+            places, known = self.sized.get(v.shape[1], (np.empty(0, np.int64), np.empty((0, v.shape[1]))))
+            self.sized[v.shape[1]] = np.concatenate([places, self.ids.size + at]), np.concatenate([known, v])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _floors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Score and id of the k-th best of each query; what any row passes where there are fewer."""
+        q, score, at = self.top
+        last = np.flatnonzero(np.arange(q.size) - np.searchsorted(q, q) == self.k - 1)
+        floor, least = np.full(self.ids.size, -np.inf), np.full(self.ids.size, np.iinfo(np.int64).max)
+        floor[q[last]], least[q[last]] = score[last], at[last]
+        return floor, least
+
+    def meet(self, ids: np.ndarray, vectors: pa.ListArray) -> None:
+        for at, v in self._sized(ids, vectors):
+            for size, (places, known) in self.sized.items():
+                step = at.size if size != v.shape[1] else max(1, SCORES // places.size)
+                for i in range(0, at.size, step):
+                    self._meet(places, known, ids[at[i : i + step]], v[i : i + step])
+
+    def _meet(self, places: np.ndarray, known: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        if known.shape[1] != v.shape[1]:  # all score 0
+            some = np.sort(ids)[: self.k]
+            q, at, score = np.repeat(places, some.size), np.tile(some, places.size), np.zeros(places.size * some.size)
+        else:
+            raw = known @ v.T
+            floor = self._floors()[0][places]
+            if ids.size > self.k and np.isneginf(floor).any():
+                floor = np.maximum(floor, -np.partition(-raw, self.k - 1, axis=1)[:, self.k - 1])
+            row, col = np.nonzero(raw >= (floor - 2 * 10.0**-self.digits)[:, None])  # what rounding may bring to the floor
+            q, at, score = places[row], ids[col], np.round(raw[row, col], self.digits) + 0.0
+        floor, least = self._floors()
+        new = (score > floor[q]) | ((score == floor[q]) & (at < least[q])) | np.isneginf(floor[q])
+        if new.any():
+            q, score, at = (np.concatenate([a, b[new]]) for a, b in zip(self.top, (q, score, at), strict=True))
+            order = np.lexsort((at, -score, q))
+            q, score, at = q[order], score[order], at[order]
+            kept = np.arange(q.size) - np.searchsorted(q, q) < self.k
+            self.top = q[kept], score[kept], at[kept]
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank) of the k most similar rows to each row of queries; scores of any sign count; ties to the smaller id.
 
-    Blocks of queries meet blocks of rows, each giving k rows a query at most; a block's vectors have as many elements. Vectors of other sizes, null or zero ones score 0;
-    null elements count as 0, rows of null id are left out.
+    Both are dealt to cells of a grid, where at most about QUERIES queries are held and ROWS rows stream by; each cell gives k rows a query at most. Vectors of other sizes,
+    null or zero ones score 0; null elements count as 0, rows of null id are left out. Both tables are counted first, so they should be at rest.
     """
+    groups, parts = max(1, -(-queries.count() // QUERIES)), max(1, -(-vectors.count() // ROWS))
 
-    def blocks(rows: DataFrame, names: tuple[str, str, str]) -> DataFrame:
-        n = max(1, -(-rows.count() // BLOCK))
-        vector = F.transform(F.coalesce(F.col(vector_col).cast("array<double>"), F.array().cast("array<double>")), lambda x: F.coalesce(x, F.lit(0.0)))
-        own = rows.where(F.col(id_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"), F.col(id_col).cast("bigint").alias("id"), vector.alias("v"))
-        same = own.groupBy("block", F.size("v").alias("size")).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-        return same.select(F.struct("block", "size").alias("block"), "ids", "vs").toDF(*names)
+    def dealt(rows: DataFrame, kind: int, own: int, others: int) -> DataFrame:
+        vector = F.coalesce(F.col(vector_col).cast("array<double>"), F.array().cast("array<double>"))
+        vector = F.when(F.exists(vector, lambda x: x.isNull()), F.transform(vector, lambda x: F.coalesce(x, F.lit(0.0)))).otherwise(vector)
+        mine, other = F.pmod(F.xxhash64("id"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        some = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), vector.alias("v")).select("id", "v", mine.alias("mine"), other.alias("other"))
+        cell = F.col("other") * groups + F.col("mine") if kind == 0 else F.col("mine") * groups + F.col("other")
+        return some.select(cell.cast("bigint").alias("cell"), F.lit(kind).alias("kind"), "id", "v")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unit(vs) -> np.ndarray:
-            v = np.array(vs.as_py(), np.float64).reshape(len(vs), -1)
-            size = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+        def told(found: _Best) -> pa.RecordBatch:
+            q, score, at = found.top
+            return pa.RecordBatch.from_arrays([pa.array(found.ids[q]), pa.array(at), pa.array(score)], names=["query_id", id_col, "score"])
 
+        now, found = None, _Best(k, digits)
         for batch in batches:
-            for qi, qv, ti, tv in zip(*(batch.column(c) for c in ("qi", "qv", "ti", "tv")), strict=True):
-                q, t, a, b = np.array(qi.as_py(), np.int64), np.array(ti.as_py(), np.int64), unit(qv), unit(tv)
-                score = np.round(a @ b.T, digits) if a.shape[1] == b.shape[1] else np.zeros((q.size, t.size))
-                top = [np.lexsort((t, -x))[:k] for x in score]
-                n = [x.size for x in top]
-                at = np.concatenate(top)
-                row = np.repeat(np.arange(q.size), n)
-                yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(t[at]), pa.array(score[row, at])], names=["query_id", id_col, "score"])
-
-    met = blocks(queries, ("qb", "qi", "qv")).crossJoin(blocks(vectors, ("tb", "ti", "tv")))
-    found = met.repartition("qb", "tb").mapInArrow(best, f"query_id bigint, {id_col} bigint, score double")
+            cell, kind, ids = (np.asarray(batch.column(i)) for i in range(3))
+            ends = [*(np.flatnonzero((np.diff(cell) != 0) | (np.diff(kind) != 0)) + 1), batch.num_rows] if batch.num_rows else []
+            for a, b in zip([0, *ends], ends, strict=False):
+                if cell[a] != now:
+                    yield told(found)
+                    now, found = cell[a], _Best(k, digits)
+                (found.meet if kind[a] else found.ask)(ids[a:b], batch.column(3).slice(a, b - a))
+        yield told(found)
+
+    met = dealt(queries, 0, groups, parts).unionByName(dealt(vectors, 1, parts, groups)).repartition(groups * parts, "cell").sortWithinPartitions("cell", "kind")
+    found = met.mapInArrow(best, f"query_id bigint, `{id_col}` bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
     return found.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)

@@ -172,6 +172,47 @@ def test_vectors_of_other_sizes(spark):
     assert [r.id for r in retrieval.vector_topk(df, df.where("id = 4"), "id", "v", 2).orderBy("rank").collect()] == [1, 2]
 
 
+def test_bags_of_words_shuffle_counts_only(spark):
+    from collections import Counter
+
+    from siltstone.functions.text import word_bucket
+
+    rows = [(1, "One two, TWO"), (2, None), (3, "--"), (1, "two " * 3000 + "x" * 50), (None, "a_b"), (None, "a_b c"), *((i, f"w{i} w{i % 7}") for i in range(10, 400))]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    words = Counter((i, w) for i, t in rows for w in (t or "").lower().replace(",", "").replace("--", "").split())
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in {w for _, w in words}], "w string").select("w", word_bucket(F.col("w")).alias("b")).collect()}
+    want = Counter()
+    for (i, w), n in words.items():
+        want[i, bucket[w]] += n
+    counts = retrieval.bow_counts(df, "id", F.col("t"))
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1  # of an id's counts, not of words
+    got = {(r.id, r.bucket): (r.n, r.weight) for r in counts.collect()}
+    assert {k: n for k, (n, _) in got.items()} == want
+    norm = {i: sum(n * n for (j, _), n in want.items() if j == i) ** 0.5 for i, _ in want}
+    assert all(abs(w - n / norm[i]) < 1e-12 for (i, _), (n, w) in got.items())
+    vectors = {r.id: r.vector for r in retrieval.bow_vectors(df, "id", F.col("t")).collect()}
+    assert vectors.keys() == norm.keys() and all(abs(vectors[i][b] - w) < 1e-12 for (i, b), (_, w) in got.items())
+
+
+def test_vector_search_over_a_grid(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(retrieval, "QUERIES", 16)
+    monkeypatch.setattr(retrieval, "ROWS", 40)
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(-1, 2)) for _ in range(rng.choice([3, 3, 3, 2]))]) for i in range(500)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").repartition(5)
+    found = retrieval.vector_topk(df, df.where("id % 7 = 0"), "id", "v", 10)
+    assert "Cartesian" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+
+    def score(a, b):
+        size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / size, 6) + 0.0 if len(a) == len(b) and size else 0.0
+
+    want = {(q, i, r) for q, a in rows if q % 7 == 0 for r, (_, i) in enumerate(sorted((-score(a, b), i) for i, b in rows)[:10], 1)}
+    assert {(r.query_id, r.id, r["rank"]) for r in found.collect()} == want
+
+
 def test_related_files_by_endings_within_names_and_by_whole_paths(spark):
     paths = ["a/xfoo.ts", "b/foo.js", "b/foo.ts", "src/services/p.ts", "zsrc/services/p.js", "README", "q/README", "b/index.ts"]
     files = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, ordinal bigint")
