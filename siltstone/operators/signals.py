@@ -18,26 +18,24 @@ VERBS = ("get", "post", "put", "delete", "patch")
 GENERIC = ("options", "opts", "args", "config", "ctx", "context", "req", "res", "next")
 
 
-def _any(path: Column, parts: tuple[str, ...]) -> Column:
-    return reduce(Column.__or__, [F.lower(path).contains(p) for p in parts])
+# Each predicate reads the path once: a filter is moved below the projection that makes the path, and makes it anew for each use.
 
 
 def is_cli(path: Column) -> Column:
     """In a folder of commands, or the entry file of a cli folder."""
-    entry = F.element_at(F.split(F.lower(path), "/"), -1).isin("index.ts", "index.js", "main.ts", "main.js")
-    return _any(path, ("commands/", "bin/", "cmd/")) | (_any(path, ("cli/",)) & ~_any(path, ("flows/", "utils/")) & entry)
+    return F.lower(path).rlike(r"(?s)commands/|bin/|cmd/|^(?!.*(?:flows|utils)/)(?=.*cli/)(?:.*/)?(?:index|main)\.(?:ts|js)\z")
 
 
 def is_route(path: Column) -> Column:
-    return _any(path, ("routes/", "controllers/", "handlers/", "endpoints/"))
+    return F.lower(path).rlike("routes/|controllers/|handlers/|endpoints/")
 
 
 def is_config(path: Column) -> Column:
-    return _any(path, ("config", "schema", "settings"))
+    return F.lower(path).rlike("config|schema|settings")
 
 
 def is_component(path: Column) -> Column:
-    return _any(path, ("components/", "views/", "widgets/")) | path.rlike(r"\.(tsx|jsx|vue|svelte)$")
+    return path.rlike(r"(?i:components/|views/|widgets/)|\.(tsx|jsx|vue|svelte)$")
 
 
 def route_verb(name: Column, decorators: Column) -> Column:
@@ -74,38 +72,62 @@ def _shown(rows: DataFrame, signal: str, name: Column, detail: Column, descripti
     return rows.select(F.lit(signal).alias("signal"), "file_path", "sym_ordinal", name.alias("name"), detail.cast("string").alias("detail"), description.alias("description"))
 
 
-def cli_commands(symbols: DataFrame) -> DataFrame:
-    from siltstone.functions.text import kebab_case
+# Conditions with the cheap parts first, so that few rows' paths are looked at.
+
 
+def _is_command() -> Column:
     name, summary = F.lower("name"), F.lower("summary")
     named = name.contains("command") | name.contains("cmd") | F.coalesce(summary.contains("command"), F.lit(False))
-    rows = symbols.where(is_cli(F.col("file_path")) & F.col("exported") & F.col("kind").isin("function", "variable", "constant") & named)
+    return F.col("exported") & F.col("kind").isin("function", "variable", "constant") & named & is_cli(F.col("file_path"))
+
+
+def _is_routed() -> Column:
+    return route_verb(F.col("name"), F.col("decorators")).isNotNull() & is_route(F.col("file_path"))
+
+
+def _is_error() -> Column:
+    base = F.coalesce(F.col("extends").endswith("Error"), F.lit(False))
+    return (F.col("kind") == "class") & (base | F.col("name").endswith("Error") | F.col("name").endswith("Exception"))
+
+
+def _is_shown() -> Column:
+    return F.col("exported") & F.col("kind").isin("component", "function", "class") & F.col("name").rlike("^[A-Z]") & is_component(F.col("file_path"))
+
+
+def cli_commands(symbols: DataFrame) -> DataFrame:
+    from siltstone.functions.text import kebab_case
+
     raw = F.regexp_replace(F.regexp_replace("name", "(?i)(command|cmd)$", ""), "(?i)^register", "")
-    return _shown(rows, "command", kebab_case(raw), F.array_join(useful_options(F.col("parameters")), ","), F.coalesce(F.nullif("summary", F.lit("")), module_description(F.col("module_doc"))))
+    return _shown(symbols.where(_is_command()), "command", kebab_case(raw), F.array_join(useful_options(F.col("parameters")), ","), F.coalesce(F.nullif("summary", F.lit("")), module_description(F.col("module_doc"))))
 
 
 def routes(symbols: DataFrame) -> DataFrame:
-    rows = symbols.where(is_route(F.col("file_path"))).withColumn("verb", route_verb(F.col("name"), F.col("decorators")))
-    return _shown(rows.where("verb is not null"), "route", route_path(F.col("name")), F.col("verb"), F.col("summary"))
+    return _shown(symbols.where(_is_routed()), "route", route_path(F.col("name")), route_verb(F.col("name"), F.col("decorators")), F.col("summary"))
 
 
 def config_options(symbols: DataFrame) -> DataFrame:
     """Children, with a type or a description, of exported interfaces, types and constants in the same file."""
-    rows = symbols.where(is_config(F.col("file_path")))
-    parents = rows.where(F.col("exported") & F.col("kind").isin("interface", "type", "constant")).select("file_path", F.col("id").alias("parent_id"), F.col("name").alias("parent"))
+    own = is_config(F.col("file_path"))
+    parents = symbols.where(F.col("exported") & F.col("kind").isin("interface", "type", "constant") & own).select("file_path", F.col("id").alias("parent_id"), F.col("name").alias("parent"))
     told = (F.coalesce("type_annotation", F.lit("")) != "") | (F.coalesce("summary", F.lit("")) != "")
-    return _shown(rows.where(told).join(parents, ["file_path", "parent_id"]), "option", F.concat_ws(".", "parent", "name"), F.col("type_annotation"), F.col("summary"))
+    return _shown(symbols.where(F.col("parent_id").isNotNull() & told & own).join(parents, ["file_path", "parent_id"]), "option", F.concat_ws(".", "parent", "name"), F.col("type_annotation"), F.col("summary"))
 
 
 def error_types(symbols: DataFrame) -> DataFrame:
-    base = F.coalesce(F.col("extends").endswith("Error"), F.lit(False))
-    rows = symbols.where((F.col("kind") == "class") & (base | F.col("name").endswith("Error") | F.col("name").endswith("Exception")))
-    return _shown(rows, "error", F.col("name"), F.col("extends"), F.col("summary"))
+    return _shown(symbols.where(_is_error()), "error", F.col("name"), F.col("extends"), F.col("summary"))
 
 
 def components(symbols: DataFrame) -> DataFrame:
-    rows = symbols.where(is_component(F.col("file_path")) & F.col("exported") & F.col("kind").isin("component", "function", "class") & F.col("name").rlike("^[A-Z]"))
-    return _shown(rows, "component", F.col("name"), F.array_join("parameters", ","), F.col("summary"))
+    return _shown(symbols.where(_is_shown()), "component", F.col("name"), F.array_join("parameters", ","), F.col("summary"))
+
+
+def counts(symbols: DataFrame) -> DataFrame:
+    """(signal, n) of all_signals(): all but the options, which need a join, are counted in one pass."""
+    kinds = {"command": _is_command(), "route": _is_routed(), "error": _is_error(), "component": _is_shown()}
+    sums = symbols.agg(*(F.count_if(hit).alias(kind) for kind, hit in kinds.items()))
+    each = sums.select(F.explode(F.array(*(F.struct(F.lit(kind).alias("signal"), F.col(kind).alias("n")) for kind in kinds))).alias("x")).select("x.signal", "x.n")
+    options = config_options(symbols).groupBy("signal").agg(F.count("*").alias("n"))
+    return each.where("n > 0").unionByName(options)
 
 
 def all_signals(symbols: DataFrame) -> DataFrame:

@@ -358,7 +358,7 @@ def component_signals(spark, d):
 
 @query()
 def signal_counts(spark, d):
-    return signals.all_signals(_signal_rows(spark, d)).groupBy("signal").agg(F.count("*").alias("n"))
+    return signals.counts(_signal_rows(spark, d))
 
 
 @query("SELECT page_id, sha256(url || html) AS h, regexp_replace(regexp_replace(lower(substr(html, 1, 0) || url), '[^\\w\\s-]', '', 'g'), '\\s+', '-', 'g') AS anchor FROM pages")

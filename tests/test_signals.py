@@ -42,6 +42,19 @@ def test_signals(spark):
     assert signals.all_signals(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_signals_are_counted_in_one_pass(spark):
+    rows = [row(f"{p}{i}.ts", i, n, k, extends=e) for i, (p, n, k, e) in enumerate([("bin/", "aCmd", "function", None), ("x/cmd/", "Command", "variable", None), ("api/routes/", "getX", "function", None), ("a/", "LostError", "class", None), ("views/", "V", "class", "MyError"), (None, "get", None, None)])]
+    rows += [row("config.ts", 1, "Opts", "type"), row("config.ts", 2, "depth", "property", parent="config.ts#Opts", type_="number")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = signals.counts(df)
+    scans = got._jdf.queryExecution().executedPlan().toString().count("ExistingRDD")
+    assert {tuple(r) for r in got.collect()} == {("command", 2), ("route", 1), ("error", 2), ("component", 1), ("option", 1)}
+    assert {tuple(r) for r in signals.all_signals(df).groupBy("signal").count().collect()} == {tuple(r) for r in got.collect()}
+    assert scans == 3 and signals.counts(df.limit(0)).count() == 0
+    paths = ["src/cli/index.ts", "CLI/a/Main.js", "cli/index.tsx", "cli/flows/index.ts", "xindex.ts", "cli/xindex.ts", "a\ncli/index.js", "cli/index.ts\n"]
+    assert [r[0] for r in spark.createDataFrame([(p,) for p in paths], "p string").select(signals.is_cli(F.col("p"))).collect()] == [True, True, False, False, False, False, True, False]
+
+
 def test_kebab_case(spark):
     names = ["listAPIKeys", "ciSetup", "v2Api", "a_b"]
     assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(kebab_case(F.col("n"))).collect()] == ["list-api-keys", "ci-setup", "v2api", "a_b"]
