@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from math import ceil
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,16 +66,36 @@ def chunk_page(path: str, text: str, target: int = TARGET, overlap: int = 0) ->
     return out
 
 
-def chunk_pages(pages: DataFrame, path_col: str, text_col: str, target: int = TARGET, overlap: int = 50) -> DataFrame:
-    """(page_path, chunk_id, chunk_ordinal, heading, content, token_count). Pages are folded each by itself, where they are."""
+#: Characters of chunks that are handed on at once.
+HANDED = 1 << 20
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(p, i, n, h, c, t) for p, x in zip(b["p"], b["t"], strict=True) if x for n, (i, h, c, t) in enumerate(chunk_page(p, x, target, overlap))]
-            yield pd.DataFrame(rows, columns=["page_path", "chunk_id", "chunk_ordinal", "heading", "content", "token_count"])
+_CHUNKS = pa.schema([("page_path", pa.string()), ("chunk_id", pa.string()), ("chunk_ordinal", pa.int64()), ("heading", pa.string()), ("content", pa.string()), ("token_count", pa.int64())])
+
+
+def chunk_batches(batches: Iterator[pa.RecordBatch], target: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of batches of pages (path, text): one page at a time is text in Python, and chunks are handed on by HANDED characters."""
 
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_CHUNKS)], schema=_CHUNKS)
+
+    for batch in batches:
+        rows, held = [], 0
+        for path, text in zip(batch.column(0), batch.column(1), strict=True):
+            p, x = path.as_py(), text.as_py()
+            for n, (i, h, c, t) in enumerate(chunk_page(p, x, target, overlap) if x else ()):
+                rows.append((p, i, n, h, c, t))
+                held += len(c)
+                if held >= HANDED:
+                    yield told(rows)
+                    rows, held = [], 0
+        if rows:
+            yield told(rows)
+
+
+def chunk_pages(pages: DataFrame, path_col: str, text_col: str, target: int = TARGET, overlap: int = 50) -> DataFrame:
+    """(page_path, chunk_id, chunk_ordinal, heading, content, token_count). Pages are folded each by itself, where they are."""
     own = pages.select(F.col(path_col).cast("string").alias("p"), F.col(text_col).alias("t"))
-    return own.mapInPandas(run, "page_path string, chunk_id string, chunk_ordinal bigint, heading string, content string, token_count bigint")
+    return own.mapInArrow(lambda batches: chunk_batches(batches, target, overlap), "page_path string, chunk_id string, chunk_ordinal bigint, heading string, content string, token_count bigint")
 
 
 def sorted_fold(rows: DataFrame, group: str, order: list, columns: list[str], schema: str, fold: Callable[[], tuple[Callable, Callable]]) -> DataFrame:

@@ -49,6 +49,17 @@ def test_chunks_overlap_and_front_matter():
     assert got[1][2].startswith("word word word")
 
 
+def test_chunks_are_handed_on_in_bounded_batches():
+    import pyarrow as pa
+
+    text = "# H\n" + "\n\n".join("word " * 200 for _ in range(40))
+    pages = pa.RecordBatch.from_pydict({"p": [str(i) for i in range(60)] + ["none", None], "t": [text] * 60 + [None, text]})
+    out = list(folds.chunk_batches(iter([pages]), folds.TARGET, 50))
+    assert len(out) > 1 and all(sum(map(len, b.column(4).to_pylist())) < folds.HANDED + 10_000 for b in out)
+    want = [(p, i, n, h, c, t) for p in [*(str(i) for i in range(60)), None] for n, (i, h, c, t) in enumerate(folds.chunk_page(p, text, overlap=50))]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+
+
 def test_greedy_and_diverse(spark):
     df = spark.createDataFrame([("g", "a", 0.9, 0, 60), ("g", "b", 0.8, 1, 70), ("g", "c", 0.7, 2, 30), ("g", "d", 0.6, 3, 20)], "g string, path string, score double, ordinal int, size int")
     assert [(r.path, r.used) for r in folds.greedy_context(df, "g", 100).orderBy("used").collect()] == [("a", 60), ("c", 90)]
