@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,16 +11,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import tokenize
+from siltstone.functions.text import STOPWORDS, tokenize
 
 K1, B = 1.2, 0.75
 
 
+#: Documents whose words are counted at once.
+SLICE = 1024
+
+
+def term_counts(docs: DataFrame, own: list[str], text: Column) -> DataFrame:
+    """own, dl, terms and tfs of each row: functions.text.tokenize()'s words, counted where the text is. Null text has no words."""
+    kept = docs.select(*own)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "dl bigint, terms array<string>, tfs array<bigint>"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, stop = re.compile(r"[a-z0-9]{2,}"), set(STOPWORDS)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                *rest, texts = batch.slice(at, SLICE).columns
+                each = [Counter(w for w in words.findall(t.as_py() or "") if w not in stop) for t in texts]
+                told = [pa.array([sum(c.values()) for c in each], pa.int64()), pa.array([list(c) for c in each], pa.list_(pa.string())), pa.array([list(c.values()) for c in each], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*rest, *told], names=[*own, "dl", "terms", "tfs"])
+
+    return docs.select(*own, F.lower(text).alias("__low")).mapInArrow(count, schema)
+
+
+def exploded_terms(counted: DataFrame, id_col: str) -> DataFrame:
+    """(id, term, dl, tf) of term_counts()."""
+    each = counted.select(id_col, "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    return each.select(id_col, F.col("x.terms").alias("term"), "dl", F.col("x.tfs").alias("tf"))
+
+
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, term, tf, dl). Terms are summed by document before anything else meets them, so a frequent term is one row a document."""
-    words = docs.select(F.col(id_col), tokenize(text).alias("words"))
-    each = words.select(id_col, F.size("words").cast("bigint").alias("dl"), F.explode("words").alias("term"))
-    return each.groupBy(id_col, "term", "dl").agg(F.count("*").alias("tf"))
+    """(id, term, tf, dl). Terms are counted in their texts before anything else meets them, so a frequent term is one row a document."""
+    return exploded_terms(term_counts(docs, [id_col], text), id_col).groupBy(id_col, "term", "dl").agg(F.sum("tf").alias("tf"))
 
 
 def term_stats(index: DataFrame) -> DataFrame:
@@ -136,10 +162,6 @@ def _lists(groups: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(groups, np.arange(n + 1)), pa.int32()), pa.array(values))
 
 
-#: Documents whose words are counted at once.
-SLICE = 1024
-
-
 def _bow(docs: DataFrame, id_col: str, text: Column, buckets: int) -> DataFrame:
     """(id, b, n): the buckets of an id's words in order, and their counts. Words are counted where the texts are; only the counts are shuffled, and texts of one id summed."""
     names, kind = [id_col, "b", "n"], docs.select(id_col).schema[0].dataType.simpleString()

@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import tokenize
-from siltstone.operators.retrieval import INDEX_VERSION, SHELVES, _corpus, _ranked, postings
+from siltstone.operators.retrieval import INDEX_VERSION, SHELVES, _corpus, _ranked, exploded_terms, term_counts
 from siltstone.operators.shared import children, remove
 
 
@@ -67,13 +66,19 @@ class TextIndex:
         Null text has no words; rows of null id are left out; an id may come once. Without a row nothing is written. Beyond most segments all are made one.
         """
         after = self._last()
-        own = changes.where(F.col(self.id_col).isNotNull())
-        if own.isEmpty():
-            return
-        new = own.where(F.coalesce(F.col(status), F.lit("")) != "deleted")
-        said = new.select(self.id_col, F.coalesce(text, F.lit("")).alias("__text"))
-        lengths = said.select(self.id_col, F.size(tokenize(F.col("__text"))).cast("bigint").alias("dl"))
-        name = self._write(postings(said, self.id_col, F.col("__text")), lengths, own.select(self.id_col))
+        new = F.coalesce(F.col(status), F.lit("")) != "deleted"
+        own = changes.where(F.col(self.id_col).isNotNull()).select(self.id_col, new.alias("__new"), F.when(new, text).alias("__text"))
+        pending = f"{self.folder}/pending/{uuid.uuid4().hex}"  # the changes are worked out and their texts read once
+        try:
+            counts = term_counts(own, [self.id_col, "__new"], F.col("__text"))
+            counts.write.parquet(pending)
+            counted = self.spark.read.schema(counts.schema).parquet(pending)
+            if counted.isEmpty():
+                return
+            said = counted.where("__new")
+            name = self._write(exploded_terms(said, self.id_col), said.select(self.id_col, "dl"), counted.select(self.id_col))
+        finally:
+            remove(self.spark, pending)
         self._point([*self.segments(), name], after)
         if len(self.segments()) > most:
             self.compact()

@@ -69,3 +69,21 @@ def test_what_no_pointer_names_is_not_there(spark, tmp_path, queries):
     spark.createDataFrame([(9, ["x"])], "version int, segments array<string>").coalesce(1).write.json(f"{tmp_path}/i/pointers/{2:010}")
     with pytest.raises(ValueError, match="version 9"):
         index.search(queries, 5)
+
+
+def test_changes_are_read_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i, f"The Apple w{i} w{i} b" if i % 3 else None, "deleted" if i % 5 == 0 else "added") for i in range(50)], "id bigint, t string, status string")
+    index = TextIndex(spark, str(tmp_path / "once"), "id")
+    index.put(rows.mapInArrow(see, rows.schema), F.col("t"))
+    assert seen.value == 50
+    found = index.search(spark.createDataFrame([(1, "apple"), (2, "w7")], "query_id int, term string"), 100).collect()
+    assert {r.id for r in found if r.query_id == 1} == {i for i in range(50) if i % 3 and i % 5} and {r.id for r in found if r.query_id == 2} == {7}
+    facts = index._read("lengths", index.segments()).collect()
+    assert {r.id: r.dl for r in facts} == {i: 3 if i % 3 else 0 for i in range(50) if i % 5}
