@@ -244,7 +244,7 @@ class _Best:
 
     def __init__(self, k: int, digits: int):
         self.k, self.digits = k, digits
-        self.ids, self.sized = np.empty(0, np.int64), {}
+        self.ids, self.least, self.sized = np.empty(0, np.int64), np.empty(0), {}
         self.top = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))  # query's place, score, id; ordered
 
     @staticmethod
@@ -258,17 +258,18 @@ class _Best:
             length = np.sqrt((v * v).sum(axis=1, keepdims=True))
             yield at, np.divide(v, length, out=np.zeros_like(v), where=length > 0)
 
-    def ask(self, ids: np.ndarray, vectors: pa.ListArray) -> None:
+    def ask(self, ids: np.ndarray, vectors: pa.ListArray, least: np.ndarray) -> None:
+        """Adds queries, of which scores below least don't count."""
         for at, v in self._sized(ids, vectors):
             places, known = self.sized.get(v.shape[1], (np.empty(0, np.int64), np.empty((0, v.shape[1]))))
             self.sized[v.shape[1]] = np.concatenate([places, self.ids.size + at]), np.concatenate([known, v])
-        self.ids = np.concatenate([self.ids, ids])
+        self.ids, self.least = np.concatenate([self.ids, ids]), np.concatenate([self.least, least])
 
     def _floors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Score and id of the k-th best of each query; what any row passes where there are fewer."""
+        """Score and id of the k-th best of each query; what any row of least passes where there are fewer."""
         q, score, at = self.top
         last = np.flatnonzero(np.arange(q.size) - np.searchsorted(q, q) == self.k - 1)
-        floor, least = np.full(self.ids.size, -np.inf), np.full(self.ids.size, np.iinfo(np.int64).max)
+        floor, least = self.least.copy(), np.full(self.ids.size, np.iinfo(np.int64).max)
         floor[q[last]], least[q[last]] = score[last], at[last]
         return floor, least
 
@@ -280,7 +281,7 @@ class _Best:
                     self._meet(places, known, ids[at[i : i + step]], v[i : i + step])
 
     def _meet(self, places: np.ndarray, known: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
-        if known.shape[1] != v.shape[1]:  # all score 0
+        if known.shape[1] != v.shape[1] or not v.shape[1]:  # all score 0
             some = np.sort(ids)[: self.k]
             q, at, score = np.repeat(places, some.size), np.tile(some, places.size), np.zeros(places.size * some.size)
         else:
@@ -300,39 +301,52 @@ class _Best:
             self.top = q[kept], score[kept], at[kept]
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, digits: int = 6) -> DataFrame:
-    """(query_id, id, score, rank) of the k most similar rows to each row of queries; scores of any sign count; ties to the smaller id.
+def best_of_cells(met: DataFrame, cells: int, k: int, digits: int) -> DataFrame:
+    """(query_id, id, score): the k best rows at most of each query in its cell, of met (cell, kind, id, v, least): queries are of kind 0, rows of kind 1; scores below a query's least don't count.
 
-    Both are dealt to cells of a grid, where at most about QUERIES queries are held and ROWS rows stream by; each cell gives k rows a query at most. Vectors of other sizes,
-    null or zero ones score 0; null elements count as 0, rows of null id are left out. Both tables are counted first, so they should be at rest.
+    A task holds the queries of a cell, and the cell's rows stream by.
     """
-    groups, parts = max(1, -(-queries.count() // QUERIES)), max(1, -(-vectors.count() // ROWS))
-
-    def dealt(rows: DataFrame, kind: int, own: int, others: int) -> DataFrame:
-        vector = F.coalesce(F.col(vector_col).cast("array<double>"), F.array().cast("array<double>"))
-        vector = F.when(F.exists(vector, lambda x: x.isNull()), F.transform(vector, lambda x: F.coalesce(x, F.lit(0.0)))).otherwise(vector)
-        mine, other = F.pmod(F.xxhash64("id"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        some = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), vector.alias("v")).select("id", "v", mine.alias("mine"), other.alias("other"))
-        cell = F.col("other") * groups + F.col("mine") if kind == 0 else F.col("mine") * groups + F.col("other")
-        return some.select(cell.cast("bigint").alias("cell"), F.lit(kind).alias("kind"), "id", "v")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(found: _Best) -> pa.RecordBatch:
             q, score, at = found.top
-            return pa.RecordBatch.from_arrays([pa.array(found.ids[q]), pa.array(at), pa.array(score)], names=["query_id", id_col, "score"])
+            return pa.RecordBatch.from_arrays([pa.array(found.ids[q]), pa.array(at), pa.array(score)], names=["query_id", "id", "score"])
 
         now, found = None, _Best(k, digits)
         for batch in batches:
-            cell, kind, ids = (np.asarray(batch.column(i)) for i in range(3))
+            cell, kind, ids, least = (np.asarray(batch.column(i)) for i in (0, 1, 2, 4))
             ends = [*(np.flatnonzero((np.diff(cell) != 0) | (np.diff(kind) != 0)) + 1), batch.num_rows] if batch.num_rows else []
             for a, b in zip([0, *ends], ends, strict=False):
                 if cell[a] != now:
                     yield told(found)
                     now, found = cell[a], _Best(k, digits)
-                (found.meet if kind[a] else found.ask)(ids[a:b], batch.column(3).slice(a, b - a))
+                v = batch.column(3).slice(a, b - a)
+                if kind[a] == 0:
+                    found.ask(ids[a:b], v, least[a:b])
+                else:
+                    found.meet(ids[a:b], v)
         yield told(found)
 
-    met = dealt(queries, 0, groups, parts).unionByName(dealt(vectors, 1, parts, groups)).repartition(groups * parts, "cell").sortWithinPartitions("cell", "kind")
-    found = met.mapInArrow(best, f"query_id bigint, `{id_col}` bigint, score double")
+    return met.select("cell", "kind", "id", "v", "least").repartition(cells, "cell").sortWithinPartitions("cell", "kind").mapInArrow(best, "query_id bigint, id bigint, score double")
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, digits: int = 6) -> DataFrame:
+    """(query_id, id, score, rank) of the k most similar rows to each row of queries; scores of any sign count; ties to the smaller id.
+
+    Both are dealt to cells of a grid, where at most about QUERIES queries are held and ROWS rows stream by; each cell gives k rows a query at most. Vectors of other sizes,
+    null or zero ones score 0; null elements count as 0, rows of null id are left out. Both tables are counted first, so they should be at rest.
+    """
+    groups, parts = max(1, -(-queries.count() // QUERIES)), max(1, -(-vectors.count() // ROWS))
+
+    def dealt(rows: DataFrame, kind: int, own: int, others: int) -> DataFrame:
+        vector = F.coalesce(F.col(vector_col).cast("array<double>"), F.array().cast("array<double>"))
+        vector = F.when(F.exists(vector, lambda x: x.isNull()), F.transform(vector, lambda x: F.coalesce(x, F.lit(0.0)))).otherwise(vector)
+        mine, other = F.pmod(F.xxhash64("id"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        some = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), vector.alias("v")).select("id", "v", mine.alias("mine"), other.alias("other"))
+        cell = F.col("other") * groups + F.col("mine") if kind == 0 else F.col("mine") * groups + F.col("other")
+        return some.select(cell.cast("bigint").alias("cell"), F.lit(kind).alias("kind"), "id", "v", F.lit(float("-inf")).alias("least"))
+
+    met = dealt(queries, 0, groups, parts).unionByName(dealt(vectors, 1, parts, groups))
+    found = best_of_cells(met, groups * parts, k, digits).withColumnRenamed("id", id_col)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
     return found.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)

@@ -24,3 +24,44 @@ def test_no_rows(spark, tmp_path):
     df = spark.createDataFrame([], "id bigint, v array<double>")
     vector_lists.write_vector_lists(df, f"{tmp_path}/l", "id", "v", 6)
     assert vector_lists.vector_topk_lists(f"{tmp_path}/l", df, "id", "v", 3).count() == 0
+
+
+def most_rows(node) -> int:
+    """The most rows that any operator of an executed plan gave."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return most_rows(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return most_rows(node.plan())
+    own, below = node.metrics().get("numOutputRows"), node.children()
+    return max([own.get().value() if own.isDefined() else 0, *(most_rows(below.apply(i)) for i in range(below.size()))])
+
+
+def test_pairs_never_become_rows(spark, tmp_path):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(3000)], "id bigint, v array<double>")
+    asked = df.where("id % 10 = 0")
+    vector_lists.write_vector_lists(df, f"{tmp_path}/l", "id", "v", 16, lists=24)
+    found = vector_lists.vector_topk_lists(f"{tmp_path}/l", asked, "id", "v", 5)
+    got = found.collect()
+    assert sum(r.n_lists for r in got if r["rank"] == 1) > 300 * 20  # without order there is next to nothing to skip: 900,000 pairs
+    assert most_rows(found._jdf.queryExecution().executedPlan()) < 3000 + 300 * 25 * 5
+    want = retrieval.vector_topk(df, asked, "id", "v", 5).collect()
+    assert sorted((r.query_id, r["rank"], r.id, r.score) for r in got) == sorted((r.query_id, r["rank"], r.id, r.score) for r in want)
+
+
+def test_cells_odd_rows_and_few_digits(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(200)]
+    rows += [(i, rows[0][1]) for i in range(200, 260)]  # one list has many copies
+    rows += [(i, [None, 0.0, 0.0, 0.0] if i % 2 else None) for i in range(260, 300)]
+    rows += [(300, [float("nan"), 1.0, 0.0, 0.0])]  # scores 0, and must not hide the list that it would be in
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").repartition(3)
+    asked = df.where("id % 20 = 0 or id = 261")
+    monkeypatch.setattr(vector_lists, "ROWS", 16, raising=False)
+    monkeypatch.setattr(vector_lists, "QUERIES", 5, raising=False)
+    vector_lists.write_vector_lists(df, f"{tmp_path}/l", "id", "v", 4, lists=12)
+    for k, digits in ((3, 6), (40, 6), (4, 1)):
+        got = vector_lists.vector_topk_lists(f"{tmp_path}/l", asked, "id", "v", k, digits).collect()
+        want = retrieval.vector_topk(df, asked, "id", "v", k, digits).collect()
+        assert sorted((r.query_id, r["rank"], r.id, r.score) for r in got) == sorted((r.query_id, r["rank"], r.id, r.score + 0.0) for r in want)
